@@ -1,0 +1,78 @@
+import hashlib
+import random
+import re
+
+from tallyforge.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def good(kind, hit):
+    d = re.sub("[^0-9]", "", hit)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in hit.split("."))
+    if kind == "card":
+        return 13 <= len(d) <= 19 and luhn(d)
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def brute(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PLAIN.items() for m in re.finditer(p, text or "") if good(k, m[0])]
+
+
+def texts():
+    rnd = random.Random(5)
+    out = [None, "", "a@b.c@d.ef", "x.y%z@h-1.com.org.%q@r.s", "1.2.3.4.5.6.7.8 999.1.1.1 007.0000255.1.0", "é😀 +1 (017) 555-7713) 4111 1111-1111 1111",
+           "4539578763621486 12345678901234567890123 0000000000000000", "++1 22 33 44 55 66 (", "aaaa@" * 50, "@.@..a@b..c", "1.2.3", "-" * 50 + "1-2 3", "card 4111111111111111"]
+    for _ in range(400):
+        out.append("".join(rnd.choice("0123456789.+@- ()aZ%_😀") for _ in range(rnd.randrange(80))))
+    for _ in range(200):
+        out.append("".join(rnd.choice(["4111111111111111", "a.b", "@", "x", ".", "1", "25", "300", " ", "+", "-", "1.2.3.4"]) for _ in range(30)))
+    return out
+
+
+def digests(spark, rows):
+    df = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, hit string"))
+    return {r.doc_id: [f"{s.kind}:{s.start}:{s.end}" for k in pii.PATTERNS for s in r[f"pii_{k}"]] for r in df.collect()}
+
+
+def test_base_spans_equal_brute_force(spark):
+    rows = [(i, t, "clash") for i, t in enumerate(texts())]
+    got = digests(spark, rows)
+    for i, t, _ in rows:
+        assert [s for s in got[i] if s.split(":")[0] in pii.BASE] == brute(t), t
+
+
+def test_very_long_texts_do_not_overflow(spark):
+    rows = [(0, "a." * 200_000, ""), (1, "1." * 200_000, ""), (2, "x@" + "a." * 100_000 + "b", ""), (3, "5 " * 300_000, ""), (4, "a" * 400_000, ""), (5, "+1" + "(" * 200_000, "")]
+    got = digests(spark, rows)
+    assert [s for s in got[2] if s.startswith("email")] == ["email:0:200003"]
+    assert len([s for s in got[1] if s.startswith("ip")]) == 50_000
+
+
+def test_added_kinds_and_scores(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00, bad DE88 3704 0044 0532 0130 00. ssn 123-45-6789"
+    lone = "the code 123-45-6789 stands alone"
+    got = digests(spark, [(0, text, ""), (1, lone, "")])
+    assert [s for s in got[0] if s.startswith("iban")] == ["iban:5:32"]
+    assert [s for s in got[0] if s.startswith("ssn")] == ["ssn:71:82"]
+    assert not [s for s in got[1] if s.startswith("ssn")]
+
+
+def test_query_digest(spark, small):
+    from tallyforge.llm.queries import op5_pii
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in op5_pii(spark, small).collect():
+        want = brute(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k + ":") for w in want) for k in pii.BASE]
