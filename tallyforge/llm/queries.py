@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import linededup, pii, simhash
-from .shared import table
+from . import bestfit, langid, linededup, pii, simhash, tokenbin
+from .shared import held_out, table
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,10 +48,31 @@ SELECT doc_id, source, coalesce(len(parts) - len(kept), 0)::BIGINT AS dropped_li
   length(array_to_string(kept, chr(10)))::BIGINT AS kept_chars, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM cut
 """
 
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return bestfit.pack_documents(table(spark, folder, "documents"))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of all documents, learned from those that aren't held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 3, 1)
+    scored = langid.predict(docs, langid.fit(docs.where(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op10_token_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as packed rows of 2048 token ids."""
+    return tokenbin.pack_rows(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_pii": op5_pii,
     "op7_line_dedup": op7_line_dedup,
+    "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
+    "op10_token_rows": op10_token_rows,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op7_line_dedup": OP7_SQL}
