@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bestfit, langid, linededup, pii, simhash, tokenbin
+from . import bestfit, langid, linededup, pii, quality, simhash, tokenbin, toxicity
 from .shared import held_out, table
 
 
@@ -17,6 +17,20 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weights of all documents against those labelled good, and the sample drawn by them."""
+    good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return quality.resample(table(spark, folder, "documents"), good)
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from labels that aren't held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(~held_out(F.col("doc_id"), 5, 0))
+    scored = toxicity.fit(docs, labels).score(docs)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and span digests of personal data in all documents."""
     found = pii.find_pii(table(spark, folder, "documents").select("doc_id", "text"))
@@ -68,6 +82,8 @@ def op10_token_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
