@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bestfit, langid, linededup, pii, quality, simhash, tokenbin, toxicity
+from . import bestfit, decontaminate, langid, linededup, pii, quality, simhash, tokenbin, toxicity
 from .shared import held_out, table
 
 
@@ -17,6 +17,12 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its edits."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, folder, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Importance weights of all documents against those labelled good, and the sample drawn by them."""
     good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
@@ -82,6 +88,7 @@ def op10_token_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,

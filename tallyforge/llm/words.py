@@ -10,6 +10,8 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, dtype=bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
+_marks = _space.copy()
+_marks[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -28,8 +30,8 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[key][:n]
 
 
-def _of_segment(data: np.ndarray) -> np.ndarray:
-    space = _space[data]
+def _of_segment(data: np.ndarray, between: np.ndarray) -> np.ndarray:
+    space = between[data]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     if not len(edge):
         return np.empty(0, dtype=np.uint64)
@@ -39,17 +41,20 @@ def _of_segment(data: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * _power(_BACK, len(data))[starts])
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order; words lie between ASCII white space, and A-Z count as a-z."""
-    data = np.frombuffer(text, dtype=np.uint8)
+def word_hashes(text: bytes, marks: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word, in order; words lie between ASCII white space, and A-Z count as a-z.
+
+    With `marks`, ASCII punctuation lies between words too.
+    """
+    data, between = np.frombuffer(text, dtype=np.uint8), _marks if marks else _space
     if len(data) <= _SEGMENT:
-        return _of_segment(data)
+        return _of_segment(data, between)
     out, at = [], 0
     while at < len(data):
         end = min(at + _SEGMENT, len(data))
-        while end < len(data) and not _space[data[end]]:
+        while end < len(data) and not between[data[end]]:
             end += 1
-        out.append(_of_segment(data[at:end]))
+        out.append(_of_segment(data[at:end], between))
         at = end
     return np.concatenate(out)
 
