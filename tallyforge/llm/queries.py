@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bestfit, decontaminate, langid, linededup, pii, quality, simhash, tokenbin, toxicity
+from . import ann, bestfit, decontaminate, langid, linededup, pii, quality, simhash, tokenbin, toxicity
 from .shared import held_out, table
 
 
@@ -46,6 +46,11 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(whole).alias("spans"))
 
 
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the number of boilerplate lines dropped and the hash of what is left."""
     out = linededup.drop_boilerplate(table(spark, folder, "documents").select("doc_id", "source", "text"))
@@ -92,6 +97,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op6_neighbours": op6_neighbours,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
