@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
+from tallyforge.functions.numbering import numbered
 
 from .classify import classify_purchases
 
@@ -37,18 +38,8 @@ def group_profile(lines: DataFrame, mode: str = "category_id", max_keys: int = 1
 
 
 def dictionary(keys: DataFrame, key: str = "group_key") -> DataFrame:
-    """`(key, dense_id)`: the distinct keys in order with ids from 0.
-
-    Ids come from range partitions: each partition numbers its own keys and starts after those before it, so no
-    partition holds all keys.
-    """
-    parts = keys.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    own = parts.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    sizes = own.groupBy("_part").agg(F.max("_place").alias("n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return own.join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_place") - 1).cast("bigint").alias("dense_id"))
+    """`(key, dense_id)`: the distinct keys in order with ids from 0."""
+    return numbered(keys.select(key).where(F.col(key).isNotNull()).distinct(), key, name="dense_id")
 
 
 def dictionary_checksum(words: DataFrame, key: str = "group_key") -> DataFrame:
