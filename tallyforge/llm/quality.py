@@ -19,6 +19,8 @@ from .shared import durable, utf8
 from .words import gram_hashes, word_hashes
 
 BUCKETS, SMOOTHING, FRACTION, SEED = 10_000, 1.0, 0.5, 17
+#: Bound of the labelled documents that make up the target model.
+TARGET_ROWS = 50_000
 
 
 def buckets_of(text: bytes) -> np.ndarray:
@@ -91,17 +93,19 @@ def kth_largest(df: DataFrame, column: str, k: int, few: int = 2000, bins: int =
             return s.lo
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, target_rows: int = TARGET_ROWS) -> DataFrame:
     """One row per document: `(doc_id, log_weight, gumbel_key, selected)`.
 
-    `target_ids(doc_id)` names the documents of the target model; the raw model counts all. The
+    `target_ids(doc_id)` names the documents of the target model; of more than `target_rows` ids, those with the
+    smallest hashes are used, so that they can be broadcast and no text is shuffled. The raw model counts all. The
     ceil(fraction * rows) largest keys are selected, and those that tie with the last. Null texts weigh 0;
     repeated rows share a key. Without target documents the weights only follow the raw model. An empty table
     gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = target_ids.select(F.col("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    ratios = log_ratios(ngram_counts(rows.join(wanted, "doc_id", "left"), "text", "target"))
+    named = target_ids.select("doc_id").where("doc_id is not null").distinct()
+    wanted = named.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(target_rows).withColumn("target", F.lit(True))
+    ratios = log_ratios(ngram_counts(rows.join(F.broadcast(wanted), "doc_id", "left"), "text", "target"))
     scored = log_weights(rows, ratios).select("doc_id", "log_weight")
     keyed = durable(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
     least = kth_largest(keyed, "gumbel_key", int(np.ceil(fraction * keyed.count())))
