@@ -169,9 +169,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out.withColumn("similarity", 1 - F.col("edits") / F.col("item_words"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no benchmark item; all columns stay. Rows that share a leaking id and text go together."""
-    keyed = docs.withColumn("_tf_key", F.struct(F.col(id_col).cast("string").alias("i"), F.xxhash64(F.col(text_col)).alias("h")))
-    found = find_leaks(keyed.select("_tf_key", F.col(text_col).alias("_tf_text")).withColumn("_tf_name", F.to_json("_tf_key")), benchmark, "_tf_name", "_tf_text")
-    leaking = found.select(F.col("doc_id").alias("_tf_name")).distinct()
-    return keyed.withColumn("_tf_name", F.to_json("_tf_key")).join(leaking, "_tf_name", "left_anti").select(*docs.columns)
+def _holds(shared):
+    """A column function: does the text hold an item of the broadcast index?"""
+
+    @F.pandas_udf(T.BooleanType())
+    def holds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            found = np.zeros(len(batch), dtype=bool)
+            for at in range(0, len(batch), 1024):
+                found[[at + d for d, _, _ in shared.value.leaks(batch.iloc[at : at + 1024].tolist())]] = True
+            yield pd.Series(found)
+
+    return holds
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that hold no benchmark item; all columns stay, and nothing is shuffled."""
+    leaking = F.lit(False)
+    for index in _indexes(benchmark, "item_id", "text"):
+        leaking = leaking | _holds(docs.sparkSession.sparkContext.broadcast(index))(utf8(F.col(text_col)))
+    return docs.where(~leaking)
