@@ -67,7 +67,7 @@ boiler AS (
 per_site AS (SELECT source, list(line) AS drops FROM boiler GROUP BY source),
 cut AS (
   SELECT p.doc_id, p.source, p.text, string_split(p.text, chr(10)) AS parts,
-    list_filter(string_split(p.text, chr(10)), x -> NOT list_contains(coalesce(s.drops, []), trim(x, ' '))) AS kept
+    list_filter(string_split(p.text, chr(10)), lambda x: NOT list_contains(coalesce(s.drops, []), trim(x, ' '))) AS kept
   FROM pages p LEFT JOIN per_site s ON s.source = p.source)
 SELECT doc_id, source, coalesce(len(parts) - len(kept), 0)::BIGINT AS dropped_lines,
   length(array_to_string(kept, chr(10)))::BIGINT AS kept_chars, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM cut
