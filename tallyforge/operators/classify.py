@@ -24,13 +24,18 @@ def bare_line(line: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(S.as_column(line), "\r$", ""), "^﻿", "")
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row: filters above don't copy their expressions below a generator."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def parse_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """Add `well_formed`, `is_header` and the nine text fields (empty text for a missing one)."""
-    bare = bare_line(line_col)
-    fine = (F.octet_length(bare) <= MAX_LINE_BYTES) & ~bare.rlike("[\r\n]") & bare.rlike(_ROW)
-    row = F.from_csv(bare, F.lit(_SCHEMA), {"mode": "PERMISSIVE", "escape": '"'})
-    out = lines.withColumns({"well_formed": F.coalesce(fine, F.lit(False)), "is_header": F.coalesce(bare == HEADER, F.lit(False)), "_row": row})
-    return out.withColumns({f: F.when(F.col("well_formed"), F.coalesce(F.col(f"_row.{f}"), F.lit(""))) for f in FIELDS}).drop("_row")
+    bare = _once(lines, _bare=bare_line(line_col))
+    fine = (F.octet_length("_bare") <= MAX_LINE_BYTES) & ~F.col("_bare").rlike("[\r\n]") & F.col("_bare").rlike(_ROW)
+    row = F.from_csv("_bare", F.lit(_SCHEMA), {"mode": "PERMISSIVE", "escape": '"'})
+    out = _once(bare, well_formed=F.coalesce(fine, F.lit(False)), is_header=F.coalesce(F.col("_bare") == HEADER, F.lit(False)), _row=row)
+    return out.withColumns({f: F.when(F.col("well_formed"), F.coalesce(F.col(f"_row.{f}"), F.lit(""))) for f in FIELDS}).drop("_row", "_bare")
 
 
 def revenue_reason(mode: str = "category_id") -> Column:
@@ -62,14 +67,14 @@ def curation_reason() -> Column:
 
 def classify_purchases(lines: DataFrame, mode: str = "category_id", line_col: str = "value") -> DataFrame:
     """Parsed lines with `reason`, and `group_key` and `price_minor` where the reason is VALID_PURCHASE."""
-    rows = parse_lines(lines, line_col).withColumn("reason", revenue_reason(mode))
+    rows = _once(parse_lines(lines, line_col), reason=revenue_reason(mode))
     valid = F.col("reason") == "VALID_PURCHASE"
     return rows.withColumns({"group_key": F.when(valid, S.group_key(mode, "category_id", "category_code")), "price_minor": F.when(valid, S.money_minor("price"))})
 
 
 def parse_events(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """All lines with `reject_reason` and the typed event columns."""
-    rows = parse_lines(lines, line_col).withColumn("reject_reason", curation_reason())
+    rows = _once(parse_lines(lines, line_col), reject_reason=curation_reason())
     code = S.blank_to_null("category_code")
     return rows.select(
         "reject_reason",
