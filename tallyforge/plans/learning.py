@@ -158,7 +158,7 @@ _CURVE = [
 ]
 
 
-@query(with_sql("SELECT split, round(sum(pos * tp / (tp + fp)) / max(all_pos), 9) AS average_precision FROM curve GROUP BY split", *_CURVE))
+@query(with_sql("SELECT split, CASE WHEN max(all_pos) > 0 THEN round(sum(pos * tp / (tp + fp)) / max(all_pos), 9) ELSE 0 END AS average_precision FROM curve GROUP BY split", *_CURVE))
 def average_precision(spark, folder):
     return rounded(evaluate.average_precision(predictions(spark, folder), "split"), ("average_precision",))
 
