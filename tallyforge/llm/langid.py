@@ -123,7 +123,7 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"lang": b.lang, "h": b.h, "bits": [np.packbits(presence(t.decode())).tobytes() for t in b.text]})
+            yield pd.DataFrame({"lang": b.lang, "h": b.h, "bits": [np.packbits(presence(t.decode("utf-8", "replace"))).tobytes() for t in b.text]})
 
     few = rows.where(F.col("h") <= F.try_element_at(cuts, F.col("lang"))).select("lang", "h", utf8(F.col("text")).alias("text"))
     sample = few.mapInPandas(featurise, "lang string, h long, bits binary").dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
         for texts in batches:
             names, values = [], []
             for at in range(0, len(texts), 128):
-                n, v = shared.value.score([t.decode() for t in texts.iloc[at : at + 128]])
+                n, v = shared.value.score([t.decode("utf-8", "replace") for t in texts.iloc[at : at + 128]])
                 names += n
                 values.extend(v.tolist())
             yield pd.DataFrame({"lang": names, "score": values})
