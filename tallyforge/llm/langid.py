@@ -83,23 +83,29 @@ class LanguageModel:
         return names, np.where(sizes > 0, score, 0.0)
 
 
-def fit_ridge(languages: list[str], features: np.ndarray) -> LanguageModel:
-    """Nyström kernel ridge regression, one against the rest, from the sample's presence rows."""
+def _unpacked(bits: np.ndarray, buckets: np.ndarray | slice = slice(None)) -> np.ndarray:
+    return np.unpackbits(bits, axis=1)[:, buckets].astype(np.float32)
+
+
+def fit_ridge(languages: list[str], bits: np.ndarray) -> LanguageModel:
+    """Nyström kernel ridge regression, one against the rest, from the sample's presence rows as packed bits.
+
+    Rows are unpacked a few hundred at a time, so the driver holds the bits and the kernel matrix only.
+    """
     names = sorted(set(languages))
     if not names:
         return LanguageModel([], np.empty(0, int), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32))
     y = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     each = max(1, LANDMARKS // len(names))
     chosen = np.concatenate([np.flatnonzero(y[:, k] > 0)[:each] for k in range(len(names))])
-    sizes = np.sqrt(np.maximum(features.sum(axis=1), 1)).astype(np.float32)
-    buckets = np.flatnonzero(features[chosen].any(axis=0))
-    rows = features[:, buckets].astype(np.float32) / sizes[:, None]
-    landmarks = np.ascontiguousarray(rows[chosen].T)
-    k_nm = (rows @ landmarks).astype(np.float64)
+    sizes = np.sqrt(np.maximum(np.bitwise_count(bits).sum(axis=1), 1)).astype(np.float32)
+    buckets = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits[chosen], axis=0)))
+    landmarks = np.ascontiguousarray((_unpacked(bits[chosen], buckets) / sizes[chosen, None]).T)
+    k_nm = np.concatenate([_unpacked(bits[at : at + 256], buckets) @ landmarks / sizes[at : at + 256, None] for at in range(0, len(bits), 256)]).astype(np.float64)
     k_mm = k_nm[chosen]
     balance = 1.0 / np.maximum((y > 0).sum(axis=0), 1)
-    per_row = balance[np.array([names.index(x) for x in languages])] * len(rows) / len(names)
-    left = k_nm.T @ (per_row[:, None] * k_nm) + RIDGE * len(rows) * k_mm + 1e-8 * len(rows) * np.eye(len(chosen))
+    per_row = balance[np.array([names.index(x) for x in languages])] * len(bits) / len(names)
+    left = k_nm.T @ (per_row[:, None] * k_nm) + RIDGE * len(bits) * k_mm + 1e-8 * len(bits) * np.eye(len(chosen))
     weights = np.linalg.solve(left, k_nm.T @ (per_row[:, None] * y))
     return LanguageModel(names, buckets, landmarks, weights.astype(np.float32))
 
@@ -117,7 +123,7 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     for r in ranked.select("lang", "h").collect():
         picked.setdefault(r.lang, []).append(r.h)
     if not picked:
-        return fit_ridge([], np.empty((0, BUCKETS), bool))
+        return fit_ridge([], np.empty((0, BUCKETS // 8), np.uint8))
     each = max(1, sample_rows // len(picked))
     cuts = F.create_map(*[F.lit(x) for lang, hs in sorted(picked.items()) for x in (lang, sorted(hs)[: each][-1])])
 
@@ -127,8 +133,7 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 
     few = rows.where(F.col("h") <= F.try_element_at(cuts, F.col("lang"))).select("lang", "h", utf8(F.col("text")).alias("text"))
     sample = few.mapInPandas(featurise, "lang string, h long, bits binary").dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
-    features = np.stack([np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8)) for r in sample]).astype(bool)
-    return fit_ridge([r.lang for r in sample], features)
+    return fit_ridge([r.lang for r in sample], np.stack([np.frombuffer(r.bits, dtype=np.uint8) for r in sample]))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
