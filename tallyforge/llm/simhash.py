@@ -98,6 +98,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("w")
     of_fp = marked.groupBy("fp").agg(first)
     best = _classes(marked).join(of_fp, "fp").groupBy("root").agg(F.min("w").alias("w"))
+    return rows_of(docs, best, id_col, text_col)
+
+
+def rows_of(docs: DataFrame, best: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that `best(w)` names by id and text hash, each once."""
     key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     winners = best.select(key(F.col("w.doc_id")).alias("_tf_id"), F.col("w.h").alias("_tf_h"))
     keyed = docs.withColumns({"_tf_id": key(F.col(id_col)), "_tf_h": F.xxhash64(F.col(text_col))})
