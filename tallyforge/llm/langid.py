@@ -22,8 +22,8 @@ BUCKETS = 1 << BUCKET_BITS
 #: Bounds of the training sample: rows in all, rows a language, landmarks in all.
 SAMPLE_ROWS, ROWS_PER_LANGUAGE, LANDMARKS = 4096, 768, 192
 RIDGE = 1e-4
-#: Score (0.5: the scorer is undecided) under which a pipeline rejects a document.
-ACCEPT = 0.25
+#: Share of correctly recognised rows that a learned limit may reject, and about how many labelled rows set the limits.
+REJECTED, CALIBRATION_ROWS = 0.002, 8192
 UNDETERMINED = "und"
 _SPREAD = np.uint32(2654435761)
 _letters: list[np.ndarray] = []
@@ -68,19 +68,23 @@ class LanguageModel:
     landmarks: np.ndarray  # buckets x landmarks, divided by the root of the landmark's size
     weights: np.ndarray  # landmarks x languages
 
-    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Best language of each text and its output moved to 0..1; texts without letters are undetermined."""
+    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Best language of each text, its output moved to 0..1, and its lead; texts without letters are undetermined.
+
+        The lead is the distance from the second scorer's output on the same scale, from 0 if there is no second.
+        """
         rows = [presence(t) for t in texts]
         sizes = np.array([r.sum() for r in rows], dtype=np.float32)
         if not self.languages:
-            return [UNDETERMINED] * len(rows), np.zeros(len(rows))
+            return [UNDETERMINED] * len(rows), np.zeros(len(rows)), np.zeros(len(rows))
         stack = np.stack([r[self.buckets] for r in rows]).astype(np.float32)
         kernel = (stack @ self.landmarks) / np.sqrt(np.maximum(sizes, 1))[:, None]
         outputs = kernel @ self.weights
         best = outputs.argmax(axis=1)
         score = np.clip((outputs[np.arange(len(best)), best] + 1) / 2, 0, 1)
         names = [self.languages[b] if n else UNDETERMINED for b, n in zip(best, sizes)]
-        return names, np.where(sizes > 0, score, 0.0)
+        ranked = np.sort((np.concatenate([outputs, np.full((len(best), 1), -1, np.float32)], axis=1)[:, : max(2, outputs.shape[1])] + 1) / 2, axis=1)
+        return names, np.where(sizes > 0, score, 0.0), np.where(sizes > 0, ranked[:, -1] - ranked[:, -2], 0.0)
 
 
 def _unpacked(bits: np.ndarray, buckets: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -137,26 +141,42 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Add `lang_pred` and `lang_score` (0 to 1) from the whole text; other columns stay.
+    """Add `lang_pred`, `lang_score` (0 to 1) and `lang_lead` from the whole text; other columns stay.
 
-    Null, empty and letterless texts, and all texts under a model without languages, get `und` and 0.
+    Null, empty and letterless texts, and all texts under a model without languages, get `und` and zeros.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, lead double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            names, values = [], []
+            names, values, leads = [], [], []
             for at in range(0, len(texts), 128):
-                n, v = shared.value.score([t.decode("utf-8", "replace") for t in texts.iloc[at : at + 128]])
+                n, v, d = shared.value.score([t.decode("utf-8", "replace") for t in texts.iloc[at : at + 128]])
                 names += n
                 values.extend(v.tolist())
-            yield pd.DataFrame({"lang": names, "score": values})
+                leads.extend(d.tolist())
+            yield pd.DataFrame({"lang": names, "score": values, "lead": leads})
 
     scored = docs.withColumn("_tf_s", scores(utf8(F.col(text_col))))
-    return scored.withColumns({"lang_pred": F.col("_tf_s.lang"), "lang_score": F.col("_tf_s.score")}).drop("_tf_s")
+    return scored.withColumns({"lang_pred": F.col("_tf_s.lang"), "lang_score": F.col("_tf_s.score"), "lang_lead": F.col("_tf_s.lead")}).drop("_tf_s")
+
 
+def limits(labelled: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> tuple[float, float]:
+    """The least score and lead of a text in a known language, learned from labelled rows outside the fitted sample.
 
-def accepted(least: float = ACCEPT) -> Column:
-    """A document stays if it has a language and that language's scorer doesn't plainly disown it."""
-    return (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)
+    Each limit leaves out REJECTED of the rows whose language is recognised, of a sample by hashes of the texts; with
+    few rows it is near the smallest value among them. Without any, the limits are those of an undecided model.
+    """
+    rows = labelled.where(F.col(lang_col).isNotNull())
+    share = min(1.0, CALIBRATION_ROWS / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64(F.lit("limits"), text_col), F.lit(1 << 20)) < int(share * (1 << 20)))
+    right = predict(some.select(F.col(text_col), F.col(lang_col).alias("_tf_lang")), model, text_col).where("lang_pred = _tf_lang")
+    q = F.percentile("lang_score", F.lit(REJECTED)), F.percentile("lang_lead", F.lit(REJECTED))
+    score, lead = right.agg(*q).first()
+    return (score, lead) if score is not None else (0.5, 0.0)
+
+
+def accepted(score: float, lead: float) -> Column:
+    """A document stays if it has a language whose scorer reaches `score` and leads the second one by `lead`."""
+    return (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= score) & (F.col("lang_lead") >= lead)

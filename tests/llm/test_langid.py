@@ -1,5 +1,10 @@
+import random
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyforge.llm import langid
 from tallyforge.llm.queries import op9_language_id
 
@@ -41,3 +46,23 @@ def test_odd_inputs(spark):
     nothing = langid.predict(df, langid.fit(df.limit(0)))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def foreign():
+    rnd = random.Random(1)
+    texts = [
+        "η γρήγορη καφέ αλεπού πηδάει πάνω από τον τεμπέλη σκύλο", "быстрая коричневая лиса прыгает через ленивую собаку", "敏捷的棕色狐狸跳过懒狗然后跑进森林里去了",
+        "الثعلب البني السريع يقفز فوق الكلب الكسول", "szybki brązowy lis przeskakuje nad leniwym psem i ucieka daleko do lasu", "a" * 500, " ".join(f"{rnd.getrandbits(128):032x}" for _ in range(40)),
+    ]
+    return texts + [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n)) for n in (20, 100, 1000)]
+
+
+@pytest.mark.parametrize("name", ["sf0.01", "sf0.1"])
+def test_stage_rejects_unknown_languages_and_junk_only(spark, name):
+    docs = spark.read.parquet(f"/root/testdata/{name}/documents.parquet")
+    kept = corpus_pipeline.keep_known_languages(spark, docs, "")
+    lettered = docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert kept.count() >= 0.985 * lettered
+    odd = spark.createDataFrame([(-1 - k, t, None, "odd", len(t)) for k, t in enumerate(foreign())], docs.schema)
+    left = corpus_pipeline.keep_known_languages(spark, docs.unionByName(odd), "").where("doc_id < 0").collect()
+    assert [r.text[:40] for r in left] == []
