@@ -225,7 +225,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     links = _both_ways(edges).select("c", "m").distinct()
     graph = durable(links.join(nodes.withColumnRenamed("node", "m"), "m").groupBy(F.col("c").alias("node")).agg(F.collect_list(F.struct("m", "vec")).alias("near")))
     queries = durable(nodes.join(asked.select("node").distinct(), "node"))
-    beams = greedy_search(graph, queries).where(F.col("r") <= 4 * k).select("q", "node")
+    beams = greedy_search(graph, queries).select("q", "node")
     itself = queries.select(F.col("node").alias("q"), "node")
     whole = copies.select("node", "vector", "ids")
     scored = (

@@ -113,3 +113,23 @@ def test_neighbours_of_few_vectors(spark):
     assert ann.nearest(one, F.col("vec_id") % 50 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], schema)
     assert [(r.rank, r.vec_id) for r in ann.nearest(few, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_recall_in_a_hot_cluster_of_near_copies(spark):
+    """4,000 vectors around one direction, closer to each other than 8-bit codes can tell apart."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    near = centre + 0.02 * np.linalg.norm(centre) / 8 * rng.normal(size=(4000, 64))
+    vectors = np.concatenate([near, rng.normal(size=(2000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    recall = []
+    for q in range(0, 4000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        recall.append(len(got.get(q, set()) & set(np.argsort(-s)[:5].tolist())) / 5)
+    print("recall", np.mean(recall))
+    assert np.mean(recall) >= 0.9
