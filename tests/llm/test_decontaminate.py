@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tallyforge.llm import decontaminate as D
 from tallyforge.llm.words import gram_hashes, word_hashes
@@ -86,11 +87,42 @@ def test_finds_what_brute_force_finds(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in {k[0] for k in got})
 
 
-def test_blocks_and_empty_tables(spark, monkeypatch):
+def test_an_index_too_large_to_broadcast_is_joined(spark, monkeypatch):
+    docs, items = world()
+    df, bench = spark.createDataFrame([(*d, "c", "c") for d in docs], DOCS), spark.createDataFrame([(*i, "c") for i in items], ITEMS)
+    key = lambda rows: sorted((str(r.doc_id), r.item_id, r.edits) for r in rows)
+    whole, kept = key(D.find_leaks(df, bench).collect()), sorted(str(r.doc_id) for r in D.drop_leaks(df, bench).collect())
+    monkeypatch.setattr(D, "BROADCAST_KEYS", 0)
+    assert key(D.find_leaks(df, bench).collect()) == whole
+    assert sorted(str(r.doc_id) for r in D.drop_leaks(df, bench).collect()) == kept
+
+
+def test_empty_tables(spark):
     docs, items = world()
     df, bench = spark.createDataFrame([(*d, "c", "c") for d in docs], DOCS), spark.createDataFrame([(*i, "c") for i in items], ITEMS)
-    whole = D.find_leaks(df, bench).count()
-    monkeypatch.setattr(D, "BLOCK_BYTES", 2000)
-    assert D.find_leaks(df, bench).count() == whole
     assert D.find_leaks(df.limit(0), bench).count() == 0 and D.find_leaks(df, bench.limit(0)).count() == 0
-    assert D.drop_leaks(df, bench.limit(0)).count() == len(docs)
+    assert D.drop_leaks(df, bench.limit(0)).count() == len(docs) and D.drop_leaks(df.limit(0), bench).count() == 0
+
+
+def test_large_ids_beside_null_ones(spark):
+    big, text = 2**53 + 1, "one two three four five six seven"
+    df = spark.createDataFrame([(big, text), (None, text), (big + 2, "other")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(big + 4, text), (None, "other")], "item_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(df, bench).collect()}
+    assert got == {(big, big + 4), (None, big + 4), (big + 2, None)}
+    assert D.drop_leaks(df, bench).count() == 0
+
+
+@pytest.mark.parametrize("words", [5, 6, 8, 10, 14, 20, 31, 45, 59, 95, 200])
+def test_recall_at_the_most_edits(words):
+    """The share of items found by collisions alone that carry every edit allowed, and of unedited ones."""
+    rng, found, whole, n = random.Random(words), 0, 0, 200
+    for _ in range(n):
+        item = [f"w{rng.randrange(400)}" for _ in range(words)]
+        around = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(40, 60))] for _ in range(2)]
+        index = D.ItemIndex([word_hashes(" ".join(item).encode(), marks=True)])
+        texts = [" ".join(around[0] + part + around[1]).encode() for part in (edited(rng, item, D.edits_allowed(words)), item)]
+        hits = {k for k, _, _ in index.leaks(texts)}
+        found, whole = found + (0 in hits), whole + (1 in hits)
+    print(words, found / n)
+    assert found / n >= D.TARGET_RECALL and whole == n
