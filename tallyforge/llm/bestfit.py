@@ -3,7 +3,7 @@
 Pieces are dealt to blocks of bounded size. Each block is evolved on several islands, as rows of a table: a
 crossover puts whole well-filled bins of one parent into the other, removes the bins that hold the same pieces
 and best-fits what that displaces. After an epoch the islands of a block trade their elites through a shuffle.
-The bins that stay poorly filled are dissolved and packed again across blocks.
+The bins that stay poorly filled are dissolved and packed again across blocks, for as long as that leaves fewer.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from .tokens import END_ID, as_u32, encoder
 CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, CHILDREN = 1024, 8192, 3, 2, 4, 8
 #: Bins below this part of the capacity are packed once more across blocks.
 POOR = 0.97
+#: Packing across blocks goes on while a level leaves at most this part of its pieces in poor bins.
+PROGRESS = 0.9
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -41,23 +44,24 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, pat
     fields = [T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("piece", "start", "length", "ids_crc32", "uid"))]
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, uid = encoder(path), TaskContext.get().partitionId() << 33
         end = np.array([END_ID], dtype=coder.dtype).tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                rows = []
-                for doc_id, text in zip(batch.doc_id.iloc[at : at + 64], batch.text.iloc[at : at + 64]):
+            for at in range(0, batch.num_rows, 64):
+                part, rows = batch.slice(at, 64), []
+                for row, text in enumerate(part.column(1).to_pylist()):
                     ids = coder.encode(text.decode("utf-8", "replace")) + end
                     for k, (start, n) in enumerate(cut(len(ids) // coder.width, capacity)):
-                        part = ids[start * coder.width : (start + n) * coder.width]
-                        rows.append((doc_id, k, start, n, zlib.crc32(as_u32(part, coder.width)), uid, part)[: len(schema)])
+                        piece = ids[start * coder.width : (start + n) * coder.width]
+                        rows.append((row, k, start, n, zlib.crc32(as_u32(piece, coder.width)), uid, piece))
                         uid += 1
-                out = pd.DataFrame(rows, columns=schema.names)
-                out["doc_id"] = out["doc_id"].astype(object).where(out["doc_id"].notna(), None)
-                yield out
+                columns = list(zip(*rows))
+                numbers = [pa.array(c, pa.int64()) for c in columns[1:6]]
+                pieces = [pa.array(columns[6], pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0], pa.int64())), *numbers, *pieces], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text")).mapInPandas(split, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text")).mapInArrow(split, schema)
 
 
 class Grouping:
@@ -206,12 +210,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, level:
     spots = table.select("_block", sizes.alias("sizes")).join(best, "_block").mapInPandas(place, "_block long, bin array<long>, offset array<long>, load array<long>")
     rows = table.join(spots, "_block").select("_block", F.explode(F.arrays_zip("items", "bin", "offset", "load")).alias("x"))
     placed = rows.select(*[F.col(f"x.items.{c}").alias(c) for c in fields], (F.col("_block") * (1 << 20) + F.col("x.bin")).alias("sequence_id"), F.col("x.offset").alias("offset"), F.col("x.load").alias("_load"))
-    if level or blocks == 1:
-        return whole.unionByName(placed.drop("_load").withColumn("sequence_id", F.col("sequence_id") * 2 + level))
-    placed = durable(placed)
-    good = placed.where(F.col("_load") >= POOR * capacity).drop("_load").withColumn("sequence_id", F.col("sequence_id") * 2)
-    poor = durable(placed.where(F.col("_load") < POOR * capacity).select(*fields))
-    return whole.unionByName(good).unionByName(pack(poor, capacity, block, level + 1))
+    numbered = placed.withColumn("sequence_id", F.col("sequence_id") + F.lit(level) * (1 << 56))
+    if blocks == 1:
+        return whole.unionByName(numbered.drop("_load"))
+    numbered = durable(numbered)
+    poor = F.col("_load") < POOR * capacity
+    left = numbered.where(poor).count()
+    if not left or left > PROGRESS * n:
+        return whole.unionByName(numbered.drop("_load"))
+    good = numbered.where(~poor).drop("_load")
+    return whole.unionByName(good).unionByName(pack(durable(numbered.where(poor).select(*fields)), capacity, block, level + 1))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +21,8 @@ from .tokens import encoder
 CAPACITY, PAD_ID = 2048, 0
 #: A block holds this many documents or bytes of text on average.
 BLOCK_DOCS, BLOCK_BYTES = 2048, 8 << 20
+#: Tasks that pack at once; beyond as many blocks, a task packs several one after the other.
+MOST_TASKS = 20_000
 
 
 class CapacityTree:
@@ -100,21 +102,31 @@ def pack_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         ]
     )
 
-    def rows(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        width = len(group.ids.iloc[0]) // int(group.length.iloc[0])
-        pad = np.array([PAD_ID], dtype=f"<u{width}").tobytes()
-        group = group.sort_values("uid", kind="stable").reset_index(drop=True)
-        bins = best_fit_decreasing(group.length.to_numpy(), capacity)
+    def rows(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("uid").combine_chunks()
+        length, start, piece = (group[c].to_numpy() for c in ("length", "start", "piece"))
+        bins = best_fit_decreasing(length, capacity)
         order = np.argsort(bins, kind="stable")
-        names = [None if pd.isna(d) else d for d in group.doc_id]
-        out = []
-        for members in np.split(order, np.flatnonzero(np.diff(bins[order])) + 1):
-            at = np.concatenate([[0], group.length.to_numpy()[members].cumsum()])
-            ids = b"".join(group.ids.iloc[i] for i in members) + pad * int(capacity - at[-1])
-            out.append(((int(key[0]) << 24) + int(bins[members[0]]), int(at[-1]), ids, at.tolist(), group.start.to_numpy()[members].tolist(), [names[i] for i in members], group.piece.to_numpy()[members].tolist()))
-        return pd.DataFrame(out, columns=schema.names)
-
-    return pieces.select("_block", "doc_id", "piece", "start", "length", "uid", "ids").groupBy("_block").applyInPandas(rows, schema)
+        firsts = np.append(np.flatnonzero(np.diff(bins[order], prepend=-1)), len(order))
+        ids, within = group["ids"], length[order].cumsum() - length[order]
+        pad = np.array([PAD_ID], dtype=f"<u{len(ids[0].as_py()) // int(length[0])}").tobytes()
+        packed, used, ends = [], [], []
+        for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
+            total = int(length[order[a:b]].sum())
+            packed.append(b"".join(ids[i].as_py() for i in order[a:b].tolist()) + pad * (capacity - total))
+            used.append(total)
+            ends.append([*(within[a:b] - within[a]).tolist(), total])
+        listed = lambda values, kind: pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), values.cast(kind))
+        named = group["doc_id"].combine_chunks().take(pa.array(order))
+        columns = [
+            pa.array((int(key[0].as_py()) << 24) + bins[order[firsts[:-1]]]), pa.array(used, pa.int32()), pa.array(packed, pa.binary()), pa.array(ends, pa.list_(pa.int32())),
+            listed(pa.array(start[order]), pa.int64()), listed(named, named.type), listed(pa.array(piece[order]), pa.int64()),
+        ]
+        return pa.Table.from_arrays(columns, names=schema.names)
+
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks, MOST_TASKS))
+    dealt = pieces.select("_block", "doc_id", "piece", "start", "length", "uid", "ids").repartition(parts, "_block")
+    return dealt.groupBy("_block").applyInArrow(rows, schema)
 
 
 def write_rows(packed: DataFrame, folder: str) -> None:
@@ -129,13 +141,13 @@ def texts_of(packed: DataFrame, path: str | None = None) -> DataFrame:
     whole = segments.groupBy("s.doc_id").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.at", "s.end", "ids"))).alias("parts"))
     kind = whole.schema["doc_id"].dataType
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for b in batches:
             texts = []
-            for parts in b.parts:
+            for parts in b.column(1).to_pylist():
                 ids = np.concatenate([np.frombuffer(p["ids"], dtype=coder.dtype)[p["at"] : p["end"]] for p in parts])
                 texts.append(coder.tokenizer.decode(ids[:-1].tolist(), skip_special_tokens=False))
-            yield pd.DataFrame({"doc_id": b.doc_id, "text": texts})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return whole.mapInPandas(decode, T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType())]))
+    return whole.mapInArrow(decode, T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType())]))

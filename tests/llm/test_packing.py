@@ -2,9 +2,12 @@ import math
 import random
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from tallyforge.llm import bestfit, tokenbin, tokens
 
@@ -24,15 +27,64 @@ def docs(spark):
     return spark.createDataFrame(rows + [(None, "no id", "c", 1), (7, rows[7][1], "c", 1)], SCHEMA)
 
 
+@lru_cache(maxsize=1)
+def library():
+    """The tokenizer as its own library reads it, untouched by the package."""
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def ids_of(text):
-    return tokens.encoder().tokenizer.encode(text or "", add_special_tokens=False).ids + [tokens.END_ID]
+    return library().encode(text or "", add_special_tokens=False).ids + [tokens.END_ID]
 
 
-def test_ids_equal_the_tokenizer(spark):
+def coded(text):
     coder = tokens.encoder()
-    assert coder.ranked is not None
+    return np.frombuffer(coder.encode(text), dtype=coder.dtype).tolist()
+
+
+def test_ids_equal_the_tokenizer(spark):
+    assert tokens.encoder().ranked is not None
     for t in texts():
-        assert np.frombuffer(coder.encode(t or ""), dtype=coder.dtype).tolist() == ids_of(t)[:-1]
+        assert coded(t or "") == ids_of(t)[:-1]
+    assert len(coded("x <|endoftext|> y")) == 4
+
+
+@pytest.mark.parametrize("c", [" ", "\n", "\u2003", "a", "é", "!", "7", " \n", "ab "])
+def test_ids_of_very_long_runs(c):
+    for text in (c * 1_000_000, f"begin {c * 200_000}end <|endoftext|>{c * 70_000} 'll"):
+        assert coded(text) == ids_of(text)[:-1]
+
+
+def test_ten_million_spaces():
+    assert len(coded(" " * 10_000_000)) == 10_000_000
+    assert len(coded(" " * 9_999_999 + "a")) == 9_999_999  # the last space and the letter are one token
+
+
+def test_ids_across_segments(monkeypatch):
+    """Whatever is cut where, the ids are those of the whole text."""
+    rnd, alphabet = random.Random(6), ["a", "B", "é", "7", " ", "  ", "\n", "'", "'s", "'ll", "!", ".", "\u00a0", "\u3000", "\x1c", "<|endoftext|>", "😀", "٣", "ab"]
+    for size in (1, 3, 17):
+        monkeypatch.setattr(tokens, "SEGMENT", size)
+        for _ in range(400):
+            text = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60)))
+            assert coded(text) == ids_of(text)[:-1], text
+
+
+def test_every_character_is_encoded_alike():
+    """The two libraries take every code point for the same kind of character."""
+    coder = tokens.encoder()
+    for at in range(0, 0x110000, 64):
+        text = " ".join(f"x{chr(c)}y 1{chr(c)}2 {chr(c)}{chr(c)}" for c in range(at, at + 64) if not 0xD800 <= c < 0xE000)
+        assert coder.ranked.encode_ordinary(text) == library().encode(text, add_special_tokens=False).ids
+
+
+def test_large_ids_beside_null_ones(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b"), (None, "c"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in bestfit.pack_documents(df).collect()} == {big, None, big + 2}
+    assert {d for r in tokenbin.pack_rows(df).collect() for d in r.doc_ids} == {big, None, big + 2}
+    named = df.selectExpr("cast(doc_id as string) as doc_id", "text")
+    assert {d for r in tokenbin.pack_rows(named).collect() for d in r.doc_ids} == {str(big), None, str(big + 2)}
 
 
 def check_packing(rows, want, capacity):
