@@ -58,17 +58,16 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP7_SQL = f"""
-WITH pages AS (SELECT doc_id, source, text, coalesce(text, '') AS body FROM documents),
-totals AS (SELECT source, count(DISTINCT body) AS site_pages FROM pages WHERE source IS NOT NULL GROUP BY source),
-lines AS (SELECT source, body, trim(unnest(string_split(body, chr(10))), ' ') AS line FROM (SELECT DISTINCT source, body FROM pages)),
-boiler AS (
-  SELECT l.source, l.line FROM (SELECT source, line, count(DISTINCT body) AS n FROM lines WHERE line <> '' GROUP BY source, line) l
-  JOIN totals t ON t.source = l.source WHERE l.n >= {linededup.MIN_PAGES} AND l.n > {linededup.RATIO} * t.site_pages),
-per_site AS (SELECT source, list(line) AS drops FROM boiler GROUP BY source),
+WITH totals AS (SELECT source, count(*) AS site_pages FROM documents WHERE source IS NOT NULL GROUP BY source),
+lines AS (SELECT source, unnest(list_distinct([trim(x, ' ' || chr(9) || chr(13)) FOR x IN string_split(coalesce(text, ''), chr(10))])) AS line FROM documents),
+counted AS (SELECT source, line, count(*) AS n_pages FROM lines WHERE line <> '' GROUP BY source, line),
+per_site AS (
+  SELECT c.source, list(c.line) AS drops FROM counted c JOIN totals t ON t.source = c.source
+  WHERE c.n_pages > 1 AND c.n_pages > {linededup.RATIO}::DOUBLE * t.site_pages GROUP BY c.source),
 cut AS (
-  SELECT p.doc_id, p.source, p.text, string_split(p.text, chr(10)) AS parts,
-    list_filter(string_split(p.text, chr(10)), lambda x: NOT list_contains(coalesce(s.drops, []), trim(x, ' '))) AS kept
-  FROM pages p LEFT JOIN per_site s ON s.source = p.source)
+  SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS parts,
+    list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(s.drops, []), trim(x, ' ' || chr(9) || chr(13)))) AS kept
+  FROM documents d LEFT JOIN per_site s ON s.source = d.source)
 SELECT doc_id, source, coalesce(len(parts) - len(kept), 0)::BIGINT AS dropped_lines,
   length(array_to_string(kept, chr(10)))::BIGINT AS kept_chars, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM cut
 """

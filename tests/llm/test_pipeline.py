@@ -39,7 +39,7 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     letterless = {r.doc_id for r in source if not any(c.isalpha() for c in r.text or "")}
     assert not kept & letterless and len(source) - len(languages) <= len(letterless) + 0.02 * len(source)
 
-    want = brute_lines([(r.doc_id, r.text, r.source) for r in languages], linededup.RATIO, linededup.MIN_PAGES)
+    want = brute_lines([(r.doc_id, r.text, r.source) for r in languages], linededup.RATIO)
     key = lambda r: (str(r[0]), str(r[1]))
     assert sorted(((r.doc_id, r.text, r.source) for r in cleaned), key=key) == sorted(want, key=key)
     assert all(r.n_chars == len(r.text) for r in cleaned)
