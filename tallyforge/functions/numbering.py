@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's `spark.checkpoint.dir` (a temporary folder only where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+from .tables import durable
 
 
 def numbered(rows: DataFrame, *order: Column | str, name: str = "row") -> DataFrame:

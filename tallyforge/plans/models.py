@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.functions.numbering import durable
+from tallyforge.functions.tables import durable
 from tallyforge.operators import clusters, evaluate, features, neighbours, pages, registry
 
 from .base import query

@@ -9,10 +9,10 @@ os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[1]}:{os.environ.g
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tallyforge.session import open_session
 
-    session = open_session("local[8]", partitions=4, memory="6g")
+    session = open_session("local[8]", partitions=4, memory="6g", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")), spark__ui__showConsoleProgress="false")
     yield session
     session.stop()
 
