@@ -1,9 +1,10 @@
 """Nearest neighbours by cosine: NN-descent builds a neighbour graph, queries search it greedily.
 
-Equal vectors are one node. Nodes carry an 8-bit copy of their direction. A round of NN-descent gathers, at each
-node, its neighbours and a sample of those it is a neighbour of, compares them with each other and offers each
-the best of the rest; a join by node keeps the K best. A search step joins the unexpanded part of all beams with
-the graph. The answers are ranked by the exact measure on the original vectors.
+Vectors of one direction are one node. Nodes carry an 8-bit copy of their direction. A round of NN-descent gathers, at
+each node, its neighbours and a sample of those it is a neighbour of, compares them with each other and offers each
+the best of the rest; a join by node keeps the K best. Rounds go on until few edges change. A search step joins the
+unexpanded part of all beams with the graph, until all beams are expanded. The answers are ranked by the exact measure
+on the original vectors.
 """
 
 from __future__ import annotations
@@ -17,25 +18,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import durable
+from .shared import durable, forget
 
-#: Neighbours a node, offers a member in a round, rounds, trees and leaf size of the first graph.
-K, OFFERS, ROUNDS, TREES, LEAF = 24, 6, 4, 3, 64
-#: Beam of a search, its steps, and queries that search at once (their vectors are broadcast).
-BEAM, STEPS, QUERY_BLOCK = 256, 6, 4096
+#: Neighbours a node, offers a member in a round, trees and leaf size of the first graph.
+K, OFFERS, TREES, LEAF = 24, 6, 3, 64
+#: Rounds end when fewer than this part of the edges is new.
+SETTLED = 0.05
+#: Beam of a search, and about how many queries one group of a step holds.
+BEAM, GROUP = 256, 4096
 #: Vectors from which the split planes of the first graph are drawn.
 PLANE_SAMPLE = 2048
+#: Components of a node's 8-bit copy; longer vectors are folded for it. Unit vectors equal on this grid are one node.
+FOLD, GRID = 4096, float(1 << 20)
 _CANDIDATES = "u long, v long, s float"
 
 
-@F.pandas_udf(T.BinaryType())
-def _packed(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in vectors:
-        out = []
-        for v in batch:
-            x = np.asarray(v, dtype=np.float64)
-            out.append(np.rint(x * (127.0 / np.abs(x).max())).astype(np.int8).tobytes())
-        yield pd.Series(out, dtype=object)
+def _packed(size: int):
+    """A column function: the vector's direction as `size` signed bytes."""
+
+    @F.pandas_udf(T.BinaryType())
+    def packed(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in vectors:
+            out = []
+            for v in batch:
+                x = np.asarray(v, dtype=np.float64)
+                whole = np.zeros(-(-max(len(x), 1) // size) * size)
+                whole[: len(x)] = x
+                parts = whole.reshape(-1, size)
+                x = (parts * np.where(np.random.default_rng(len(parts)).random(parts.shape) < 0.5, 1, -1)).sum(axis=0) if len(parts) > 1 else parts[0]
+                out.append(np.rint(x * (127.0 / max(np.abs(x).max(), 1e-300))).astype(np.int8).tobytes())
+            yield pd.Series(out, dtype=object)
+
+    return packed
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -46,12 +60,24 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """`(vec_id, vector)` of the rows with an id and a finite, non-zero vector of the table's usual length."""
+    """`(vec_id, vector)` of the rows with an id and a finite, non-zero vector, in double precision.
+
+    Each vector is multiplied by the power of two that brings its largest component near one: cosines stay the same to
+    the last digit, and neither huge nor tiny components overflow.
+    """
     v = F.col(vec_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vector"), F.coalesce(fine, F.lit(False)).alias("fine")).where("fine and vec_id is not null")
-    usual = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vector") == (usual.n if usual else 0)).select("vec_id", "vector")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(fine, F.lit(False)), v).alias("v")).where("v is not null and vec_id is not null")
+    power = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.floor(F.log2(F.array_max(F.transform("v", F.abs)))).cast("double")))
+    return rows.withColumn("scale", F.pow(F.lit(2.0), -power)).select("vec_id", F.transform("v", lambda x: x * F.col("scale")).alias("vector"))
+
+
+def _direction(vector: Column) -> list[Column]:
+    """Two hashes of the direction; components past the end count as zeros."""
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda t, x: t + x * x))
+    places = F.transform(vector, lambda x: F.round(x / length * GRID).cast("long"))
+    one = lambda seed: F.aggregate(F.transform(places, lambda x, i: F.when(x != 0, F.xxhash64(x, i, F.lit(seed))).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x))
+    return [one(1), one(2)]
 
 
 def _compare(offers: int):
@@ -100,7 +126,7 @@ def _best(candidates: DataFrame, known: DataFrame | None) -> DataFrame:
 
 
 def _first_groups(nodes: DataFrame) -> DataFrame:
-    """Members of the leaves of a few random-plane trees; large leaves are dealt into parts."""
+    """Members of the leaves of a few random-plane trees and of one random dealing; large leaves are dealt into parts."""
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("node")).limit(PLANE_SAMPLE).select("vec").collect()
     points = _unit(pa.array([bytes(r.vec) for r in sample], type=pa.binary()))
@@ -120,8 +146,9 @@ def _first_groups(nodes: DataFrame) -> DataFrame:
 
     placed = nodes.select("node", "vec", F.posexplode(leaves("vec")).alias("tree", "code"))
     sizes = placed.groupBy("tree", "code").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
-    spread = placed.join(sizes, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    return spread.select(F.xxhash64("tree", "code", "part").alias("c"), F.col("node").alias("m"), "vec", F.lit(-2.0).alias("kth"), F.lit(True).alias("fresh"))
+    spread = placed.join(F.broadcast(sizes), ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
+    dealt = nodes.select(F.lit(TREES).alias("tree"), F.lit(0).cast("long").alias("code"), "node", "vec", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(max(1, n // LEAF))).alias("part"))
+    return spread.select("tree", "code", "node", "vec", "part").unionByName(dealt).select(F.xxhash64("tree", "code", "part").alias("c"), F.col("node").alias("m"), "vec", F.lit(-2.0).alias("kth"), F.lit(True).alias("fresh"))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -132,77 +159,67 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("m"), "fresh").unionByName(some)
 
 
-def neighbour_graph(nodes: DataFrame) -> DataFrame:
-    """NN-descent over `nodes(node, vec)`: `(u, v, s, fresh)`, at most K neighbours a node."""
+def neighbour_graph(nodes: DataFrame, settled: float = SETTLED) -> DataFrame:
+    """NN-descent over `nodes(node, vec)`: `(u, v, s, fresh)`, at most K neighbours a node.
+
+    Rounds go on until at most the part `settled` of the edges is new; each replaces edges by better ones, so they end.
+    """
     edges = _best(_offers(_first_groups(nodes), 2 * OFFERS), None)
-    for _ in range(ROUNDS):
+    while True:
         kth = edges.groupBy("u").agg(F.min("s").alias("kth"), F.count("*").alias("n"))
         limits = nodes.join(kth, nodes.node == kth.u, "left").select(F.col("node").alias("m"), "vec", F.when(F.col("n") >= K, F.col("kth")).otherwise(F.lit(-2.0)).alias("kth"))
         members = _both_ways(edges).join(limits, "m").select("c", "m", "vec", "kth", "fresh")
-        edges = _best(_offers(members, OFFERS), edges)
-    return edges
+        edges, last = _best(_offers(members, OFFERS), edges), edges
+        forget(last)
+        row = edges.agg(F.count_if("fresh").alias("fresh"), F.count("*").alias("n")).first()
+        if row.fresh <= settled * row.n:
+            return edges
 
 
-def _expand(queries: np.ndarray, ids: np.ndarray):
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A search step at the nodes: score each neighbour for each query whose beam holds the node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us, vs, ss = [], [], []
-            for asked, near in zip(batch.column(0), batch.column(1)):
-                q, limit = asked.values.field("q").to_numpy(), asked.values.field("limit").to_numpy()
-                names, vec = near.values.field("m").to_numpy(), _unit(near.values.field("vec"))
-                s = queries[np.searchsorted(ids, q)] @ vec.T
-                row, col = np.nonzero((s > limit[:, None]) & (q[:, None] != names[None, :]))
-                us.append(q[row])
-                vs.append(names[col])
-                ss.append(s[row, col])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(ss).astype(np.float32))], names=["u", "v", "s"])
-
-    return run
+    for batch in batches:
+        us, vs, ss = [], [], []
+        for asked, near in zip(batch.column(0), batch.column(1)):
+            q, limit = asked.values.field("q").to_numpy(), asked.values.field("limit").to_numpy()
+            names = near.values.field("m").to_numpy()
+            s = _unit(asked.values.field("qvec")) @ _unit(near.values.field("vec")).T
+            row, col = np.nonzero((s > limit[:, None]) & (q[:, None] != names[None, :]))
+            us.append(q[row])
+            vs.append(names[col])
+            ss.append(s[row, col])
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(ss).astype(np.float32))], names=["u", "v", "s"])
 
 
 def greedy_search(graph: DataFrame, queries: DataFrame) -> DataFrame:
     """`(q, node, s)`: beams of `queries(node, vec)` over `graph(node, near)`, near an array of (m, vec).
 
-    A query is a node of the graph and starts from itself. Queries go in blocks, whose vectors are broadcast.
+    A query is a node of the graph and starts from itself. All queries step together, each taking its vector along; a
+    step expands what is new in the beams, and the search ends when nothing is.
     """
-    total = queries.count()
-    blocks, out = max(1, -(-total // QUERY_BLOCK)), None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b).orderBy("node").collect()
-        if not part:
-            continue
-        ids = np.array([r.node for r in part], dtype=np.int64)
-        shared = queries.sparkSession.sparkContext.broadcast((_unit(pa.array([bytes(r.vec) for r in part], type=pa.binary())), ids))
-
-        def run(batches, shared=shared):
-            return _expand(*shared.value)(batches)
-
-        todo = queries.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b).select(F.col("node").alias("q"), "node", F.lit(-2.0).cast("float").alias("limit"))
-        beam = None
-        for _ in range(STEPS):
-            asked = todo.groupBy("node").agg(F.collect_list(F.struct("q", "limit")).alias("asked"))
-            found = asked.join(graph, "node").select("asked", "near").mapInArrow(run, _CANDIDATES).select(F.col("u").alias("q"), F.col("v").alias("node"), "s", F.lit(False).alias("done"))
-            rows = found if beam is None else found.unionByName(beam.withColumn("done", F.lit(True)).select("q", "node", "s", "done"))
-            each = rows.groupBy("q", "node").agg(F.max("s").alias("s"), F.max("done").alias("done"))
-            rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))
-            beam = durable(each.withColumn("r", rank).where(F.col("r") <= BEAM))
-            limits = beam.groupBy("q").agg(F.min("s").alias("low"), F.count("*").alias("n"))
-            limit = F.when(F.col("n") >= BEAM, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("limit")
-            todo = beam.where("not done").join(limits, "q").select("q", "node", limit)
-            if beam.where("not done").isEmpty():
-                break
-        one = beam.select("q", "node", "s", "r")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else queries.sparkSession.createDataFrame([], "q long, node long, s float, r int")
+    own = queries.select(F.col("node").alias("q"), F.col("vec").alias("qvec"))
+    salts = max(1, queries.count() // GROUP)
+    todo, beam = own.select("q", F.col("q").alias("node"), F.lit(-2.0).cast("float").alias("limit"), "qvec"), None
+    while True:
+        asked = todo.groupBy("node", F.pmod(F.xxhash64("q"), F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("q", "limit", "qvec")).alias("asked"))
+        found = asked.join(graph, "node").select("asked", "near").mapInArrow(_expand, _CANDIDATES).select(F.col("u").alias("q"), F.col("v").alias("node"), "s", F.lit(False).alias("done"))
+        rows = found if beam is None else found.unionByName(beam.select("q", "node", "s", F.lit(True).alias("done")))
+        each = rows.groupBy("q", "node").agg(F.max("s").alias("s"), F.max("done").alias("done"))
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))
+        beam, last = durable(each.withColumn("r", rank).where(F.col("r") <= BEAM)), beam
+        if last is not None:
+            forget(last)
+        new = beam.where("not done")
+        if new.isEmpty():
+            return beam.select("q", "node", "s")
+        limits = beam.groupBy("q").agg(F.when(F.count("*") >= BEAM, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("limit"))
+        todo = new.join(limits.join(own, "q"), "q").select("q", "node", "limit", "qvec")
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """The cosine of two arrays, summed in order in double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
-    a, b = a.cast("array<double>"), b.cast("array<double>")
+    """The cosine of two arrays of doubles, summed in order; components past the end of one count as zeros."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(p * q, F.lit(0.0))), F.lit(0.0), lambda t, p: t + p)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
@@ -210,30 +227,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     """`(query_id, rank, vec_id, score)`: for each row where `is_query` (over vec_id), its k nearest found.
 
     Nearest first by cosine, ties to the smaller vec_id; all other rows are candidates, copies of the query's
-    vector included. Rows whose vector is null, zero, of unusual length or has null or non-finite parts take no
-    part. Repeated ids of equal vectors count once. An empty table gives an empty result.
+    vector included. Rows whose vector is null, zero or has null or non-finite parts take no part; a shorter vector
+    counts as one with zeros at its end. Of vectors of one direction (equal to six digits) the k + 1 of smallest id
+    stand for all. Repeated ids of equal vectors count once. An empty table gives an empty result.
     """
     rows = usable(vectors, id_col, vec_col).dropDuplicates(["vec_id", "vector"])
-    pair = [F.xxhash64("vector"), F.xxhash64(F.lit(2), "vector")]
-    keyed = rows.select("vec_id", "vector", pair[0].alias("h"), pair[1].alias("h2"))
-    place = F.row_number().over(Window.partitionBy("h", "h2").orderBy("vec_id"))
+    h, h2 = _direction(F.col("vector"))
+    keyed = rows.select("vec_id", "vector", h.alias("h"), h2.alias("h2"))
+    place = F.row_number().over(Window.partitionBy("h", "h2").orderBy("vec_id", "vector"))
     first = keyed.withColumn("r", place).where(F.col("r") <= k + 1)
-    copies = durable(first.groupBy("h", "h2").agg(F.min("vec_id").alias("node"), F.min_by("vector", "vec_id").alias("vector"), F.sort_array(F.collect_set("vec_id")).alias("ids")))
-    asked = durable(keyed.where(is_query).select("vec_id", "h", "h2").join(copies.select("h", "h2", "node"), ["h", "h2"]).select("vec_id", "node"))
-    nodes = durable(copies.select("node", _packed("vector").alias("vec")))
+    groups = first.groupBy("h", "h2").agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("members"))
+    copies = durable(groups.select("h", "h2", F.xxhash64("h", "h2").alias("node"), F.col("members")[0]["vector"].alias("vector"), "members"))
+    asked = durable(keyed.where(is_query).join(copies.select("h", "h2", "node"), ["h", "h2"]).select("vec_id", F.col("vector").alias("own"), "node"))
+    size = copies.agg(F.max(F.size("vector"))).first()[0] or 1
+    nodes = durable(copies.select("node", _packed(min(size, FOLD))("vector").alias("vec")))
     edges = neighbour_graph(nodes)
     links = _both_ways(edges).select("c", "m").distinct()
     graph = durable(links.join(nodes.withColumnRenamed("node", "m"), "m").groupBy(F.col("c").alias("node")).agg(F.collect_list(F.struct("m", "vec")).alias("near")))
     queries = durable(nodes.join(asked.select("node").distinct(), "node"))
-    beams = greedy_search(graph, queries).select("q", "node")
-    itself = queries.select(F.col("node").alias("q"), "node")
-    whole = copies.select("node", "vector", "ids")
-    scored = (
-        beams.unionByName(itself).join(whole, "node")
-        .join(whole.select(F.col("node").alias("q"), F.col("vector").alias("asked")), "q")
-        .select("q", F.explode("ids").alias("vec_id"), cosine(F.col("asked"), F.col("vector")).alias("score"))
-    )
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    top = scored.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("n"), "vec_id", "score"))).alias("found"))
-    answers = asked.join(top, asked.node == top.q).select(F.col("vec_id").alias("query_id"), F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("found"))
-    return answers.select("query_id", F.posexplode("found").alias("p", "f")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
+    beams = greedy_search(graph, queries).select("q", "node").unionByName(queries.select(F.col("node").alias("q"), "node"))
+    whole = copies.select("node", "vector")
+    ranked = beams.join(whole, "node").join(whole.select(F.col("node").alias("q"), F.col("vector").alias("asked")), "q").select("q", "node", cosine(F.col("asked"), F.col("vector")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))
+    closest = ranked.withColumn("r", rank).where(F.col("r") <= 4 * (k + 1))
+    candidates = closest.join(copies.select("node", "members"), "node").groupBy(F.col("q").alias("node")).agg(F.flatten(F.collect_list("members")).alias("members"))
+    scored = asked.join(candidates, "node").select(F.col("vec_id").alias("query_id"), "own", F.explode("members").alias("m")).where("m.vec_id <> query_id")
+    scored = scored.select("query_id", F.col("m.vec_id").alias("vec_id"), cosine(F.col("own"), F.col("m.vector")).alias("score")).distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.tables import durable, forget, new_folder, remove
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint, which outlives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["durable", "forget", "held_out", "new_folder", "remove", "table", "utf8"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

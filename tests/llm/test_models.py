@@ -95,6 +95,7 @@ def test_neighbours_against_brute_force(spark):
         vectors[i] = vectors[100]
     table = [(i, v, "c", 1.0) for i, v in vectors.items()]
     odd = [(3000, None, "c", 1.0), (3050, [0.0] * 24, "c", 1.0), (3100, [float("nan")] * 24, "c", 1.0), (3150, [1.0] * 23, "c", 1.0), (3200, [None] * 24, "c", 1.0), (None, vectors[3], "c", 1.0), (50, vectors[50], "c", 1.0)]
+    vectors[3150] = [1.0] * 23 + [0.0]  # a shorter vector counts as one with zeros at its end
     df = spark.createDataFrame(table + odd, "vec_id long, embedding array<double>, node string, score double")
     got = {}
     for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
@@ -133,3 +134,43 @@ def test_recall_in_a_hot_cluster_of_near_copies(spark):
         recall.append(len(got.get(q, set()) & set(np.argsort(-s)[:5].tolist())) / 5)
     print("recall", np.mean(recall))
     assert np.mean(recall) >= 0.9
+
+
+def answers(spark, vectors, kind="double"):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], f"vec_id long, embedding array<{kind}>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return got
+
+
+def test_many_vectors_of_one_direction(spark):
+    """Scaled copies tie but for the last digits of their cosines: they are answered from the smallest ids."""
+    rng = np.random.default_rng(4)
+    one, scale = rng.normal(size=64), rng.uniform(0.1, 1e3, size=2000)
+    scale[:3] = 1e-150, 1e150, 2.0
+    got = answers(spark, scale[:, None] * one)
+    assert len(got) == 40
+    for q, found in got.items():
+        assert len(found) == 5 and {i for i, _ in found} <= set(range(6)) - {q} and all(abs(s - 1) < 1e-12 for _, s in found)
+        assert found == sorted(found, key=lambda x: (-x[1], x[0]))
+    for q, found in answers(spark, (scale[3:, None] * one).astype(np.float32), "float").items():
+        assert len(found) == 5 and all(s > 1 - 1e-12 for _, s in found) and q not in dict(found)
+
+
+def test_vectors_of_two_lengths(spark):
+    rng = np.random.default_rng(6)
+    short, long = rng.normal(size=(300, 8)), rng.normal(size=(700, 12))
+    padded = np.concatenate([np.concatenate([short, np.zeros((300, 4))], axis=1), long])
+    got = answers(spark, [*short, *long])
+    want = brute(dict(enumerate(padded.tolist())), range(0, 1000, 50), 5)
+    assert {q: [i for i, _ in found] for q, found in got.items()} == want
+
+
+def test_a_search_goes_on_until_it_settles(spark):
+    """A path whose every node knows only the next one: the nearest node is 29 steps away."""
+    turn = [np.rint(127 * np.array([np.cos(a), np.sin(a)])).astype(np.int8).tobytes() for a in np.linspace(3, 0.05, 30)]
+    turn[0] = np.array([127, 0], dtype=np.int8).tobytes()
+    graph = spark.createDataFrame([(i, [(i + 1, turn[i + 1])]) for i in range(29)], "node long, near array<struct<m:long,vec:binary>>")
+    beam = ann.greedy_search(graph, spark.createDataFrame([(0, turn[0])], "node long, vec binary"))
+    assert {r.node for r in beam.collect()} == set(range(1, 30))
