@@ -21,6 +21,8 @@ BUCKET_BITS, ORDERS = 15, 4
 BUCKETS = 1 << BUCKET_BITS
 #: Bounds of the training sample: rows in all, rows a language, landmarks in all.
 SAMPLE_ROWS, ROWS_PER_LANGUAGE, LANDMARKS = 4096, 768, 192
+#: Parts into which a language's hashes are dealt before they are ranked, so that no task ranks more than DEALT * ROWS_PER_LANGUAGE.
+DEALT = 64
 RIDGE = 1e-4
 #: Share of correctly recognised rows that a learned limit may reject, and about how many labelled rows set the limits.
 REJECTED, CALIBRATION_ROWS = 0.002, 8192
@@ -114,6 +116,11 @@ def fit_ridge(languages: list[str], bits: np.ndarray) -> LanguageModel:
     return LanguageModel(names, buckets, landmarks, weights.astype(np.float32))
 
 
+def _smallest(hashes: DataFrame, n: int, *keys: str | Column) -> DataFrame:
+    """The n rows `(lang, h)` of smallest h of each group of `keys`."""
+    return hashes.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("n") <= n).select("lang", "h")
+
+
 def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit on a bounded sample of `training`: of each language the rows with the smallest hashes of their texts.
 
@@ -122,9 +129,9 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     """
     rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("sample"), text_col).alias("h"))
     hashes = rows.select("lang", "h").distinct()
-    ranked = hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= ROWS_PER_LANGUAGE)
+    few = _smallest(_smallest(hashes, ROWS_PER_LANGUAGE, "lang", F.pmod("h", F.lit(DEALT))), ROWS_PER_LANGUAGE, "lang")
     picked: dict[str, list[int]] = {}
-    for r in ranked.select("lang", "h").collect():
+    for r in few.collect():
         picked.setdefault(r.lang, []).append(r.h)
     if not picked:
         return fit_ridge([], np.empty((0, BUCKETS // 8), np.uint8))
@@ -135,15 +142,16 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
         for b in batches:
             yield pd.DataFrame({"lang": b.lang, "h": b.h, "bits": [np.packbits(presence(t.decode("utf-8", "replace"))).tobytes() for t in b.text]})
 
-    few = rows.where(F.col("h") <= F.try_element_at(cuts, F.col("lang"))).select("lang", "h", utf8(F.col("text")).alias("text"))
-    sample = few.mapInPandas(featurise, "lang string, h long, bits binary").dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
+    chosen = rows.where(F.col("h") <= F.try_element_at(cuts, F.col("lang"))).select("lang", "h", utf8(F.col("text")).alias("text"))
+    sample = chosen.mapInPandas(featurise, "lang string, h long, bits binary").dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
     return fit_ridge([r.lang for r in sample], np.stack([np.frombuffer(r.bits, dtype=np.uint8) for r in sample]))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Add `lang_pred`, `lang_score` (0 to 1) and `lang_lead` from the whole text; other columns stay.
 
-    Null, empty and letterless texts, and all texts under a model without languages, get `und` and zeros.
+    Null, empty and letterless texts, and all texts under a model without languages, get `und` and zeros. Columns of
+    these names are replaced; repeated rows are scored row by row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

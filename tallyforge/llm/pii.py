@@ -1,4 +1,4 @@
-"""Personal data: patterns propose spans, checksums confirm them, context words adjust their score.
+"""Personal data and secrets: patterns propose spans, checksums confirm them, context words adjust their score.
 
 Everything is a column expression. Patterns use possessive repetition, so that Java matches them in one pass
 without recursion whatever the text's length, and each may start only where an earlier start cannot exist.
@@ -17,12 +17,16 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32})(?![A-Za-z0-9])|-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----",
+    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+",
 }
 #: What a text must hold before its pattern is tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+#: Kinds that count as secrets.
+SECRETS = ("key", "secret")
 BASE = ("email", "ip", "card", "phone")
 #: Score of a confirmed span, and words that raise it when they stand shortly before.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.6, "ssn": 0.3, "key": 0.9, "secret": 0.2}
 CONTEXT = {
     "email": "e-?mail|mail|contact|write to",
     "ip": r"\bip\b|address|host|server",
@@ -30,6 +34,8 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|account|bank|konto|compte|cuenta",
     "ssn": r"ssn|social security|tax id|\bnin\b",
+    "key": "key|token|secret",
+    "secret": r"api.?key|access.?key|secret|token|passw(?:or)?d|\bpwd\b|credential|bearer",
 }
 REACH, CONTEXT_BONUS, ACCEPT, BLOCK = 40, 0.3, 0.5, 256
 
@@ -69,6 +75,8 @@ def _confirmed(kind: str, hit: Column) -> Column:
     if kind == "iban":
         code = F.regexp_replace(hit, " ", "")
         return F.when(F.length(code).between(15, 34), _mod97(code)).otherwise(F.lit(False))
+    if kind == "secret":
+        return hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -111,8 +119,9 @@ def find_pii(docs: DataFrame, text_col: str = "text", prefix: str = "pii_") -> D
     """Add one column per kind, `pii_<kind>`: array of (kind, start, end, score), ordered by start.
 
     Spans of a kind never overlap; those of different kinds may. `start` and `end` count code points, end
-    exclusive. Base kinds keep every confirmed match; the kinds the method adds (iban, ssn) need the score ACCEPT.
-    A null text counts as empty and has no spans; other columns stay as they are.
+    exclusive. Base kinds keep every confirmed match; the kinds the method adds (iban, ssn, key, secret) need the score
+    ACCEPT, which for ssn and secret takes a context word. A null text counts as empty and has no spans; columns of
+    these names are replaced, all others stay as they are. Repeated rows are searched row by row.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
@@ -125,6 +134,11 @@ def find_pii(docs: DataFrame, text_col: str = "text", prefix: str = "pii_") -> D
     return docs.withColumns(columns)
 
 
+def scores(spans: Column) -> Column:
+    """The score of each span with two decimals, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.format_number(s["score"], 2)), ",")
+
+
 def digest(spans: Column) -> Column:
     """`kind:start:end` of each span, joined by commas; no span gives an empty string."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

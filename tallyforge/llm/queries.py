@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import ann, bestfit, decontaminate, langid, linededup, pii, quality, simhash, tokenbin, toxicity
 from .shared import held_out, table
 
@@ -43,7 +41,9 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     base = F.flatten(F.array(*[F.col(f"pii_{k}") for k in pii.BASE]))
     whole = F.flatten(F.array(*[F.col(f"pii_{k}") for k in pii.PATTERNS]))
     counts = [F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(whole).alias("spans"))
+    secrets = sum((F.size(f"pii_{k}").cast("long") for k in pii.SECRETS), F.lit(0).cast("long"))
+    more = secrets.alias("n_secret"), F.size(whole).cast("long").alias("n_spans"), pii.scores(whole).alias("span_scores")
+    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(whole).alias("spans"), *more)
 
 
 def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,6 +72,7 @@ SELECT doc_id, source, coalesce(len(parts) - len(kept), 0)::BIGINT AS dropped_li
   length(array_to_string(kept, chr(10)))::BIGINT AS kept_chars, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM cut
 """
 
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return bestfit.pack_documents(table(spark, folder, "documents"))
@@ -101,6 +102,5 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_token_rows": op10_token_rows,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op7_line_dedup": OP7_SQL}

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import durable, utf8
 
-#: Bounds: labelled rows to learn from, and entries of the learned lexicon.
-LABEL_ROWS, LEXICON = 20_000, 2000
+#: Bound of the labelled rows to learn from, which also bounds the learned lexicon.
+LABEL_ROWS = 20_000
 LEAST_DOCS, LEAST_ODDS, STEM, NEAR = 5, 2.0, 5, 6
 #: A seed lexicon and second-person words of several languages.
 SEEDS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage worthless pathetic disgusting clown fool ugly hate kill shut imbecile crétin débile salaud connard idiota imbécil estúpido basura asqueroso dummkopf trottel abschaum wertlos ekelhaft".split())
@@ -78,7 +78,10 @@ def features_of(text: str, lexicon: dict[str, float]) -> list[float]:
 
 
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Words and word beginnings (with `*`) that mark toxic texts of `labelled(text binary, label)`, with log odds."""
+    """Words and word beginnings (with `*`) that mark toxic texts of `labelled(text binary, label)`, with log odds.
+
+    All that stand in LEAST_DOCS toxic texts and reach LEAST_ODDS; `labelled` is bounded, so this is too.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -92,9 +95,8 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     sizes = {int(r.label): r["count"] for r in labelled.groupBy("label").count().collect()}
     counts = labelled.select("text", "label").mapInPandas(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (sizes.get(0, 0) + 1))
-    marked = counts.where(F.col("toxic") >= LEAST_DOCS).select("word", odds.alias("odds"), "toxic").where(F.col("odds") >= LEAST_ODDS)
-    top = marked.orderBy(F.desc("toxic"), F.desc("odds"), "word").limit(LEXICON)
-    return {r.word: r.odds for r in top.collect()}
+    marked = counts.where(F.col("toxic") >= LEAST_DOCS).select("word", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS)
+    return {r.word: r.odds for r in marked.collect()}
 
 
 def featurise(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text") -> DataFrame:
@@ -116,9 +118,12 @@ class ToxicityModel:
         self.lexicon, self.trees, self.calibration, self.rate = lexicon, trees, calibration, rate
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """Add `toxicity`, 0 to 1; null and empty texts are scored as texts without words."""
+        """Add `toxicity`, 0 to 1; null and empty texts are scored as texts without words.
+
+        A column `toxicity` is replaced; repeated rows are scored row by row.
+        """
         if self.trees is None:
-            return docs.withColumn("toxicity", F.lit(float(self.rate)))
+            return docs.drop("toxicity").withColumn("toxicity", F.lit(float(self.rate)))
         columns = docs.columns
         names = {c: f"_tf_{k}" for k, c in enumerate(columns)}
         hidden = docs.select(*[F.col(c).alias(names[c]) for c in columns])
@@ -128,19 +133,20 @@ class ToxicityModel:
             ready = self.calibration.transform(ready)
         else:
             ready = ready.withColumn("calibrated", F.col("p"))
-        return ready.select(*[F.col(names[c]).alias(c) for c in columns], F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))).alias("toxicity"))
+        return ready.select(*[F.col(names[c]).alias(c) for c in columns if c != "toxicity"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))).alias("toxicity"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_rows: int = LABEL_ROWS) -> ToxicityModel:
     """Learn from at most `label_rows` labelled documents, those with the smallest hashes of their ids.
 
     A document that has several labels counts as toxic if one says so; null labels and ids and unlabelled
-    documents are not used. A quarter of the rows calibrates, the rest grows lexicon and trees.
+    documents are not used. Where an id has several texts, each is a row with its label; repeated rows count once.
+    A quarter of the rows calibrates, the rest grows lexicon and trees.
     """
     label = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     few = label.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(label_rows)
     found = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text")).join(F.broadcast(few), "doc_id")
-    rows = durable(found.dropDuplicates(["doc_id"]).withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0))
+    rows = durable(found.dropDuplicates(["doc_id", "text"]).withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0))
     grow, hold = rows.where("not calibrates"), rows.where("calibrates")
     sizes = {int(r.label): r["count"] for r in grow.groupBy("label").count().collect()}
     if len(sizes) < 2:

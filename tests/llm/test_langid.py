@@ -66,3 +66,43 @@ def test_stage_rejects_unknown_languages_and_junk_only(spark, name):
     odd = spark.createDataFrame([(-1 - k, t, None, "odd", len(t)) for k, t in enumerate(foreign())], docs.schema)
     left = corpus_pipeline.keep_known_languages(spark, docs.unionByName(odd), "").where("doc_id < 0").collect()
     assert [r.text[:40] for r in left] == []
+
+
+def test_scores_equal_a_plain_ridge_regression():
+    """Kernel from sets of buckets pair by pair, and the normal equations of the landmarks, against the model."""
+    rng = random.Random(3)
+    vocabulary = {"en": ["the", "cat", "house", "river"], "de": ["der", "hund", "straße", "fluß"], "fr": ["le", "chien", "forêt"]}
+    rows = [(lang, " ".join(rng.choice(w) for _ in range(rng.randrange(3, 12)))) for lang, w in vocabulary.items() for _ in range(rng.randrange(8, 20))]
+    rng.shuffle(rows)
+    languages, texts = [a for a, _ in rows], [b for _, b in rows]
+    bits = np.stack([np.packbits(langid.presence(t)) for t in texts])
+    model = langid.fit_ridge(languages, bits)
+
+    sets = [set(np.flatnonzero(langid.presence(t)).tolist()) for t in texts]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    names = sorted(vocabulary)
+    each = langid.LANDMARKS // len(names)
+    marks = [i for n in names for i in [k for k, x in enumerate(languages) if x == n][:each]]
+    weight = np.array([len(rows) / len(names) / languages.count(x) for x in languages])
+    near, among = kernel[:, marks], kernel[np.ix_(marks, marks)]
+    left = near.T @ np.diag(weight) @ near + langid.RIDGE * len(rows) * among + 1e-8 * len(rows) * np.eye(len(marks))
+    target = np.array([[1.0 if x == n else -1.0 for n in names] for x in languages])
+    outputs = near @ np.linalg.solve(left, near.T @ np.diag(weight) @ target)
+    found, scores, leads = model.score(texts)
+    assert found == [names[k] for k in outputs.argmax(axis=1)]
+    ranked = np.sort((outputs + 1) / 2, axis=1)
+    assert np.allclose(scores, np.clip(ranked[:, -1], 0, 1), atol=1e-3) and np.allclose(leads, ranked[:, -1] - ranked[:, -2], atol=1e-3)
+
+
+def test_the_sample_is_the_smallest_hashes_of_each_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 5)
+    rows = [(k, f"word{chr(97 + k % 26)} text {chr(97 + k // 26)}x", "en" if k % 3 else "de", "c") for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    hashes = df.select("lang", "text", F.xxhash64(F.lit("sample"), "text").alias("h")).dropDuplicates(["h"]).collect()
+    want = {lang: {r.text for r in sorted((x for x in hashes if x.lang == lang), key=lambda x: x.h)[:5]} for lang in ("de", "en")}
+    seen = []
+    monkeypatch.setattr(langid, "fit_ridge", lambda languages, bits: seen.append((languages, bits)))
+    langid.fit(df)
+    languages, bits = seen[0]
+    for lang, texts in want.items():
+        assert sorted(np.packbits(langid.presence(t)).tobytes() for t in texts) == sorted(b.tobytes() for x, b in zip(languages, bits) if x == lang)

@@ -80,6 +80,55 @@ def test_toxicity_odd_inputs(spark):
     assert toxicity.normal_words("You 1d10t! s.c.u.m 12") == ["you", "idiot", "scum"]
 
 
+def plain_features(text, lexicon):
+    """The features of FEATURES, each by its definition, word by word."""
+    words, raw = toxicity.normal_words(text), text.split()
+    n, chars = max(len(words), 1), max(len(text), 1)
+    stem = lambda w: w[:5] + "*" if len(w) > 5 and w[:5] + "*" in lexicon else None
+    bad = [w in toxicity.SEEDS or w in lexicon or stem(w) is not None for w in words]
+    you = [k for k, w in enumerate(words) if w in toxicity.SECOND]
+    odds = [lexicon[w] for w in set(words) if w in lexicon] + [lexicon[stem(w)] for w in set(words) if stem(w)]
+    share = [words.count(w) for w in set(words)] or [0]
+    return [
+        math.log(len(words) + 1), sum(w in toxicity.SEEDS for w in words) / n, sum(w in toxicity.SEEDS for w in words), sum(w in lexicon for w in words) / n, sum(w in lexicon for w in words),
+        sum(stem(w) is not None for w in words) / n, sum(stem(w) is not None for w in words), max(odds, default=0), sum(odds), len(you) / n, sum(b and any(abs(k - y) <= 6 for y in you) for k, b in enumerate(bad)),
+        sum(c.isupper() for c in text) / chars, sum(len(w) > 1 and w.isupper() for w in raw) / n, text.count("!") / n, text.count("?") / n, sum(c in "#$%&*@^~|" for c in text) / n, sum(c.isdigit() for c in text) / chars,
+        sum(any(w[k] in ".*-_@$!" and (w[k - 1].isalnum() or w[k - 1] == "_") and (w[k + 1].isalnum() or w[k + 1] == "_") for k in range(1, len(w) - 1)) for w in raw) / n, len(set(words)) / n, max(share) / n, chars / n,
+    ]
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Features by their definitions, the trees walked node by node, the calibration interpolated by hand."""
+    rng = np.random.default_rng(9)
+    mild, rude = "the nice garden tree you river walk song".split(), "you are an idiot moron s.t.u.p.i.d GRUMBLERS grumblemore !! loser".split()
+    docs = [(k, " ".join(rng.choice(rude if k % 4 == 0 else mild, size=rng.integers(3, 30)).tolist() + [f"w{k}"])) for k in range(400)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model = toxicity.fit(df, spark.createDataFrame([(k, int(k % 4 == 0 or k % 37 == 0)) for k in range(400)], "doc_id long, toxic int"))
+    assert model.trees is not None and model.calibration is not None and model.lexicon
+
+    def walk(node, x):
+        if node.subtreeDepth() == 0:
+            return node.prediction()
+        return walk(node.leftChild() if x[node.split().featureIndex()] <= node.split().threshold() else node.rightChild(), x)
+
+    roots, edges, levels = [t._call_java("rootNode") for t in model.trees.trees], list(model.calibration.boundaries), list(model.calibration.predictions)
+    for r in model.score(df).collect():
+        x = plain_features(r.text or "", model.lexicon)
+        assert np.allclose(x, toxicity.features_of(r.text or "", model.lexicon))
+        margin = sum(w * walk(root, x) for w, root in zip(model.trees.treeWeights, roots))
+        want = np.interp(1 / (1 + math.exp(-2 * margin)), edges, levels)
+        assert abs(r.toxicity - min(1, max(0, want))) < 1e-9
+
+
+def test_toxicity_replaces_a_column_of_its_name_and_takes_every_text_of_an_id(spark):
+    df = spark.createDataFrame([(k % 30, f"idiot moron {k}" if k % 3 == 0 else f"garden {k}", "mine") for k in range(90)], "doc_id long, text string, toxicity string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(30)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    assert model.score(df).columns == ["doc_id", "text", "toxicity"] and model.score(df).schema["toxicity"].dataType.typeName() == "double"
+    none = toxicity.fit(df, labels.limit(0))
+    assert none.score(df).columns == ["doc_id", "text", "toxicity"]
+
+
 def brute(vectors, query_ids, k):
     out = {}
     for q in query_ids:
