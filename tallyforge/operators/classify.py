@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 
+#: The fields of a line in order, which also are the header.
 FIELDS = ("event_time", "event_type", "product_id", "category_id", "category_code", "brand", "price", "user_id", "user_session")
 HEADER = ",".join(FIELDS)
+#: The fields that the revenue policy looks at.
+REVENUE_FIELDS = ("event_type", "category_id", "category_code", "price")
 MAX_LINE_BYTES = 65_536
-_FIELD = r'(?:"(?:[^"]|"")*"\s*|[^",][^,]*|)'
-_ROW = f"^{_FIELD}(?:,{_FIELD}){{8}}$"
+#: Possessive throughout, so that a field of any length is matched without recursion and never taken back.
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"\s*+|[^",][^,]*+|)'
+_ROW = rf"^{_FIELD}(?:,{_FIELD}){{8}}\z"
 _SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
 
 
 def bare_line(line: Column | str) -> Column:
     """The line without one trailing CR and without a byte-order mark."""
-    return F.regexp_replace(F.regexp_replace(S.as_column(line), "\r$", ""), "^﻿", "")
+    return F.regexp_replace(F.regexp_replace(S.as_column(line), r"\r\z", ""), "^\ufeff", "")
 
 
 def _once(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -29,13 +33,24 @@ def _once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def parse_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """Add `well_formed`, `is_header` and the nine text fields (empty text for a missing one)."""
+def parse_lines(lines: DataFrame, line_col: str = "value", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Add `well_formed`, `is_header` and the text fields asked for (empty text for a missing one).
+
+    A line without quotes is split at its commas; only lines with quotes are matched against the pattern of nine
+    fields and read as CSV. Which fields are asked for changes no answer.
+    """
     bare = _once(lines, _bare=bare_line(line_col))
-    fine = (F.octet_length("_bare") <= MAX_LINE_BYTES) & ~F.col("_bare").rlike("[\r\n]") & F.col("_bare").rlike(_ROW)
-    row = F.from_csv("_bare", F.lit(_SCHEMA), {"mode": "PERMISSIVE", "escape": '"'})
-    out = _once(bare, well_formed=F.coalesce(fine, F.lit(False)), is_header=F.coalesce(F.col("_bare") == HEADER, F.lit(False)), _row=row)
-    return out.withColumns({f: F.when(F.col("well_formed"), F.coalesce(F.col(f"_row.{f}"), F.lit(""))) for f in FIELDS}).drop("_row", "_bare")
+    parts = _once(bare, _quoted=F.contains("_bare", F.lit('"')), _parts=F.split("_bare", ",", -1))
+    nine = F.when(F.col("_quoted"), F.col("_bare").rlike(_ROW)).otherwise(F.size("_parts") == len(FIELDS))
+    fine = (F.octet_length("_bare") <= MAX_LINE_BYTES) & ~F.col("_bare").rlike("[\r\n]") & nine
+    quoted = F.from_csv("_bare", F.lit(_SCHEMA), {"mode": "PERMISSIVE", "escape": '"', "maxCharsPerColumn": "-1"})
+    pick = lambda row, at: F.struct(*[at(row, f).alias(f) for f in fields])
+    plain = pick(F.col("_parts"), lambda row, f: row[FIELDS.index(f)])
+    judged = _once(parts, well_formed=F.coalesce(fine, F.lit(False)), is_header=F.coalesce(F.col("_bare") == HEADER, F.lit(False)))
+    csv = _once(judged, _csv=F.when(F.col("well_formed") & F.col("_quoted"), quoted))
+    row = F.when(F.col("_quoted"), pick(F.col("_csv"), lambda row, f: row[f])).otherwise(plain)
+    out = _once(csv, _row=F.when(F.col("well_formed"), row))
+    return out.withColumns({f: F.when(F.col("well_formed"), F.coalesce(F.col(f"_row.{f}"), F.lit(""))) for f in fields}).drop("_row", "_csv", "_parts", "_quoted", "_bare")
 
 
 def revenue_reason(mode: str = "category_id") -> Column:
@@ -67,7 +82,7 @@ def curation_reason() -> Column:
 
 def classify_purchases(lines: DataFrame, mode: str = "category_id", line_col: str = "value") -> DataFrame:
     """Parsed lines with `reason`, and `group_key` and `price_minor` where the reason is VALID_PURCHASE."""
-    rows = _once(parse_lines(lines, line_col), reason=revenue_reason(mode))
+    rows = _once(parse_lines(lines, line_col, REVENUE_FIELDS), reason=revenue_reason(mode))
     valid = F.col("reason") == "VALID_PURCHASE"
     return rows.withColumns({"group_key": F.when(valid, S.group_key(mode, "category_id", "category_code")), "price_minor": F.when(valid, S.money_minor("price"))})
 

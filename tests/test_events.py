@@ -8,8 +8,8 @@ from tallyforge.operators import catalog, classify, compare, features, metrics,
 from tallyforge.sources import readers
 
 EVENTS = [
-    ("purchase", "1", "a.x", "10.00"), ("purchase", "1", "a.x", "20.00"), ("purchase", "1", "a.x", "30.00"), ("view", "1", "a.x", "99.00"),
-    ("purchase", "2", "", "0.00"), ("purchase", "2", "", "0.01"), ("purchase", "2", "", "0.02"),
+    ("view", "41", "home.desk", "8.88"), ("purchase", "41", "home.desk", "7.45"), ("purchase", "77", "", "0.00"), ("purchase", "41", "home.desk", "12.05"),
+    ("purchase", "77", "", "0.02"), ("purchase", "41", "home.desk", "40.50"), ("purchase", "77", "", "0.01"),
 ]
 
 
@@ -24,35 +24,50 @@ def lines(spark, values, parts=2):
 @pytest.mark.parametrize("parts", [1, 2, 7])
 def test_golden_revenue_on_lines_and_on_curated_rows(spark, parts):
     raw = lines(spark, golden(), parts)
-    want = [("1", 6000, 3, "60.00", "20.00"), ("2", 3, 3, "0.03", "0.01")]
+    want = [("41", 6000, 3, "60.00", "20.00"), ("77", 3, 3, "0.03", "0.01")]
     assert sorted(map(tuple, revenue.revenue_from_lines(raw).collect())) == want
     events = classify.curate(classify.parse_events(raw))
     assert sorted(map(tuple, revenue.revenue(events).collect())) == want
     reasons = {r.reason: r.n_rows for r in classify.reason_counts(classify.classify_purchases(raw), "reason").collect()}
     assert reasons == {"VALID_PURCHASE": 6, "NON_PURCHASE": 1, "HEADER": 1}
     by_root = {r.group_key: r.sum_minor for r in revenue.revenue_from_lines(raw, "category_root").collect()}
-    assert by_root == {"a": 6000, S.UNKNOWN: 3}
+    assert by_root == {"home": 6000, S.UNKNOWN: 3}
     assert revenue.revenue_from_lines(raw.limit(0)).count() == 0
 
 
+def line(kind="purchase", category="12", code="home.lamp", brand="acme", price="3.20", *rest):
+    return ",".join(["2020-02-03 04:05:06 UTC", kind, "p7", category, code, brand, price, *(rest or ("u9", "s4"))])
+
+
 LINES = {
-    "t,view,1,1,a,b,NaN,u,s": "NON_PURCHASE", "t,other,1,1,a,b,1,u,s": "UNKNOWN_EVENT", "t,purchase,1,,a,b,NaN,u,s": "INVALID_PRICE", "t,purchase,1,,a,b,1,u,s": "INVALID_GROUP",
-    "t,purchase,1,1,a,b,0,u,s": "VALID_PURCHASE", 't,purchase,1,1,a,"x,y",10.00,u,': "VALID_PURCHASE", 't,purchase,1,1,a,"x""y",10.00,u,\r': "VALID_PURCHASE", "t,purchase,1,1,a,b,1,u": "MALFORMED_CSV",
-    "t,purchase,1,1,a,b,1,u,s,extra": "MALFORMED_CSV", 't,purchase,1,1,a,"broken,1,u,s': "MALFORMED_CSV", "﻿" + classify.HEADER: "HEADER", "": "MALFORMED_CSV", 't,purchase,1,1,a,"b"x,1,u,s': "MALFORMED_CSV",
-    't,purchase,1,1,a,b,1,u,"s': "MALFORMED_CSV", "t,purchase,1,1,a,b,1,u," + "s" * 70_000: "MALFORMED_CSV", "t, purchase ,1, 1 ,a,b,1,u,s": "VALID_PURCHASE", "t,purchase,1,1x,a,b,1,u,s": "INVALID_GROUP",
+    line("cart", price="NaN"): "NON_PURCHASE", line("wishlist"): "UNKNOWN_EVENT", line(category="", price="cheap"): "INVALID_PRICE", line(category=""): "INVALID_GROUP",
+    line(price="0.00"): "VALID_PURCHASE", line(brand='"lamps, desks"'): "VALID_PURCHASE", line(brand='"the ""big"" lamp"') + "\r": "VALID_PURCHASE", line() + "\r\r": "MALFORMED_CSV",
+    line("purchase", "12", "home.lamp", "acme", "3.20", "u9"): "MALFORMED_CSV", line("purchase", "12", "home.lamp", "acme", "3.20", "u9", "s4", "more"): "MALFORMED_CSV", line(brand='"never closed'): "MALFORMED_CSV",
+    "\ufeff" + classify.HEADER: "HEADER", "": "MALFORMED_CSV", line(brand='"closed"early'): "MALFORMED_CSV", line("purchase", "12", "home.lamp", "acme", "3.20", "u9", '"s4'): "MALFORMED_CSV", line(brand='in"side'): "VALID_PURCHASE",
+    line(brand="x" * 70_000): "MALFORMED_CSV", line(" purchase ", " 12 "): "VALID_PURCHASE", line(category="12b"): "INVALID_GROUP", line(brand='"' + "y" * 60_000 + '"'): "VALID_PURCHASE", line(brand='"' + "y" * 60_000): "MALFORMED_CSV",
+    line(brand='"' + '""' * 20_000 + '"'): "VALID_PURCHASE", line(brand='"' + '""' * 20_000): "MALFORMED_CSV", line(brand='"' + "y," * 20_000 + '"'): "VALID_PURCHASE", "," * 8: "UNKNOWN_EVENT",
 }
 
 
 def test_reasons_of_tricky_lines(spark):
     got = {r.value: r.reason for r in classify.classify_purchases(lines(spark, LINES)).collect()}
     assert got == LINES
-    root = classify.classify_purchases(lines(spark, ["t,purchase,1,1,,b,1,u,s"]), "category_root").first()
+    root = classify.classify_purchases(lines(spark, [line(code="")]), "category_root").first()
     assert (root.reason, root.group_key) == ("VALID_PURCHASE", S.UNKNOWN)
 
 
+def test_fewer_fields_give_the_same_answers(spark):
+    """The four fields of the revenue policy and all nine agree on every line."""
+    raw = lines(spark, LINES)
+    few, all_ = (classify.parse_lines(raw, fields=f).select("value", "well_formed", "is_header", *classify.REVENUE_FIELDS) for f in (classify.REVENUE_FIELDS, classify.FIELDS))
+    assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, all_.collect()), key=str)
+    row = classify.parse_lines(lines(spark, [line(brand='"the ""big"", lamp"')])).first()
+    assert (row.brand, row.price, row.user_session) == ('the "big", lamp', "3.20", "s4")
+
+
 def test_money_texts(spark):
-    valid = {"12.300": 1230, "1e2": 10_000, "+1.5": 150, "0": 0, " 7 ": 700}
-    bad = ["12.301", "NaN", "Infinity", "-1", "", "x"]
+    valid = {"8.250": 825, "3e1": 3000, "+2.5": 250, "0": 0, " 9 ": 900}
+    bad = ["4.005", "NaN", "Infinity", "-2", "", "y"]
     got = {r.t: r.m for r in spark.createDataFrame([(t,) for t in [*valid, *bad]], "t string").select("t", S.money_minor("t").alias("m")).collect()}
     assert got == valid | dict.fromkeys(bad)
     row = spark.range(1).select(S.money_text(F.lit(5)).alias("a"), S.money_text(F.lit(123_456_789_012_345_678)).alias("b"), S.average_minor(F.lit(1), F.lit(2)).alias("c"), S.average_minor(F.lit(9_000_000_000_000_000_001), F.lit(2)).alias("d"), S.average_minor(F.lit(0), F.lit(0)).alias("e")).first()
@@ -78,8 +93,8 @@ def test_curation_rejects_and_quality(spark):
 def test_funnels_and_trend(spark):
     events = classify.curate(classify.parse_events(lines(spark, golden())))
     f = {r.category_id: r for r in metrics.funnel_by_category(events).collect()}
-    assert (f["1"].views, f["1"].purchases, f["1"].revenue_minor, f["1"].view_to_purchase, f["1"].cart_to_purchase) == (1, 3, 6000, 3.0, None)
-    assert (f["2"].revenue_minor, f["2"].view_to_purchase) == (3, None)
+    assert (f["41"].views, f["41"].purchases, f["41"].revenue_minor, f["41"].view_to_purchase, f["41"].cart_to_purchase) == (1, 3, 6000, 3.0, None)
+    assert (f["77"].revenue_minor, f["77"].view_to_purchase) == (3, None)
     hour = metrics.trend_by_hour(events).collect()
     assert len(hour) == 1 and (hour[0].events, hour[0].distinct_users) == (7, 1)
     brand = metrics.funnel_by_brand(events).first()
@@ -120,14 +135,14 @@ def test_windows_prune_date_partitions(spark, tmp_path):
 
 def test_parity_validation_and_dictionary(spark):
     a = revenue.revenue_from_lines(lines(spark, golden()))
-    b = a.where("group_key = '1'").withColumn("sum_minor", F.lit(1).cast("bigint"))
+    b = a.where("group_key = '41'").withColumn("sum_minor", F.lit(1).cast("bigint"))
     assert tuple(compare.parity(a, b).first()) == (2, 1, 1, 0, 1)
-    assert [r.group_key for r in compare.first_differences(a, b).collect()] == ["1", "2"]
+    assert [r.group_key for r in compare.first_differences(a, b).collect()] == ["41", "77"]
     assert compare.validate(a, 6).first().purchases == 6
     with pytest.raises(Exception, match="not valid"):
         compare.validate(a.unionByName(a), 12).collect()
     words = catalog.dictionary(a)
-    assert [tuple(r) for r in words.orderBy("dense_id").collect()] == [("1", 0), ("2", 1)]
+    assert [tuple(r) for r in words.orderBy("dense_id").collect()] == [("41", 0), ("77", 1)]
     assert compare.missing_keys(spark.createDataFrame([("9",)], "group_key string"), words).count() == 1
     with pytest.raises(Exception, match="missing in the dictionary"):
         compare.looked_up(spark.createDataFrame([("9",)], "group_key string"), words).collect()
