@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,19 +63,27 @@ def ratio(part: Column | str, whole: Column | str) -> Column:
     return F.when(as_column(whole) > 0, F.round(as_column(part) / as_column(whole), 6))
 
 
-def group_key(mode: str, category_id: Column | str, category_code: Column | str) -> Column:
-    """Group key of an event by `mode`: category_id, category_code or category_root; null where it is invalid."""
+def _key_of_any_length(mode: str, category_id: Column | str, category_code: Column | str) -> Column:
     ident, code = F.trim(as_column(category_id)), F.trim(as_column(category_code))
     if mode == "category_id":
-        key = F.when(ident.rlike("^[0-9]+$"), ident)
-    elif mode in ("category_code", "category_root"):
+        return F.when(ident.rlike("^[0-9]+$"), ident)
+    if mode in ("category_code", "category_root"):
         named = F.when(F.coalesce(code, F.lit("")) == "", F.lit(UNKNOWN)).when(~code.rlike("[\\t\\r\\n]"), code)
-        key = named if mode == "category_code" else category_root(named)
-    else:
-        raise ValueError(f"unknown mode {mode}")
+        return named if mode == "category_code" else category_root(named)
+    raise ValueError(f"unknown mode {mode}")
+
+
+def group_key(mode: str, category_id: Column | str, category_code: Column | str) -> Column:
+    """Group key of an event by `mode`: category_id, category_code or category_root; null where it is invalid."""
+    key = _key_of_any_length(mode, category_id, category_code)
     return F.when(F.octet_length(key) <= MAX_KEY_BYTES, key)
 
 
+def overlong_key(mode: str, category_id: Column | str, category_code: Column | str) -> Column:
+    """Whether a key is invalid for its length alone."""
+    return F.coalesce(F.octet_length(_key_of_any_length(mode, category_id, category_code)) > MAX_KEY_BYTES, F.lit(False))
+
+
 def standardized(x: Column | str, mean: float, std: float) -> Column:
     """(x - mean) * (1 / std), and 0 for a column that doesn't vary."""
     return (as_column(x) - mean) * (1.0 / std) if std else F.lit(0.0)
@@ -118,3 +128,18 @@ def digest_bucket(parts: list[Column], buckets: int) -> Column:
     head = F.conv(F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 8), 16, 10).cast("bigint")
     signed = F.when(head >= 1 << 31, head - (1 << 32)).otherwise(head)
     return F.pmod(signed, F.lit(buckets).cast("bigint"))
+
+
+def digest_uniform(*parts: Column | str) -> Column:
+    """A number of [0, 1) by the first 48 bits of SHA-256 over the parts joined by colons."""
+    text = F.concat_ws(":", *[as_column(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("bigint") / float(1 << 48)
+
+
+def poisson_one(u: Column) -> Column:
+    """A Poisson(1) number from a uniform one: how many of the cumulative probabilities it reaches."""
+    total, steps = 0.0, []
+    for k in range(12):
+        total += math.exp(-1) / math.factorial(k)
+        steps.append(total)
+    return sum(((u >= t).cast("int") for t in steps), F.lit(0))

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 from tallyforge.functions.numbering import numbered
 
-from .classify import classify_purchases
+from .classify import FIELDS, MAX_LINE_BYTES, classify_purchases
 
 
-def preflight(lines: DataFrame, mode: str = "category_id", file_col: str = "file", line_col: str = "value") -> DataFrame:
-    """Per file: lines, headers, valid purchases, malformed lines and over-long or invalid keys."""
+def preflight(lines: DataFrame, mode: str = "category_id", file_col: str = "file", line_col: str = "value", order: str = "place") -> DataFrame:
+    """Per file: lines, headers, whether its first line by `order` is the header, valid purchases, malformed lines,
+    and invalid keys apart from over-long ones."""
     rows = classify_purchases(lines, mode, line_col)
-    is_reason = lambda r: F.count_if(F.col("reason") == r)
+    is_reason = lambda r: F.col("reason") == r
+    long_key = is_reason("INVALID_GROUP") & S.overlong_key(mode, "category_id", "category_code")
     return rows.groupBy(file_col).agg(
         F.count("*").alias("n_lines"),
-        is_reason("HEADER").alias("headers"),
-        is_reason("VALID_PURCHASE").alias("valid_purchases"),
-        is_reason("MALFORMED_CSV").alias("malformed"),
-        is_reason("INVALID_GROUP").alias("invalid_groups"),
+        F.count_if(is_reason("HEADER")).alias("headers"),
+        F.min_by(is_reason("HEADER"), order).alias("header_first"),
+        F.count_if(is_reason("VALID_PURCHASE")).alias("valid_purchases"),
+        F.count_if(is_reason("MALFORMED_CSV")).alias("malformed"),
+        F.count_if(is_reason("INVALID_GROUP") & ~long_key).alias("invalid_groups"),
+        F.count_if(long_key).alias("overlong_keys"),
     )
 
 
@@ -42,12 +49,38 @@ def dictionary(keys: DataFrame, key: str = "group_key") -> DataFrame:
     return numbered(keys.select(key).where(F.col(key).isNotNull()).distinct(), key, name="dense_id")
 
 
-def dictionary_checksum(words: DataFrame, key: str = "group_key") -> DataFrame:
-    """SHA-256 over the ordered keys of a dictionary whose size is bounded by the profile's guard."""
+def dictionary_checksum(words: DataFrame, key: str = "group_key", max_keys: int = 100_000) -> DataFrame:
+    """SHA-256 over the ordered keys of a dictionary; one of more than `max_keys` keys raises before they are gathered."""
+    if words.limit(max_keys + 1).count() > max_keys:
+        raise ValueError(f"the dictionary has more than {max_keys} keys")
     ordered = F.sort_array(F.collect_list(F.struct("dense_id", key)))
     return words.agg(F.count("*").alias("n_keys"), F.sha2(F.array_join(F.transform(ordered, lambda x: x[key]), "\n"), 256).alias("checksum"))
 
 
+def input_manifest(spark: SparkSession, *paths: str) -> DataFrame:
+    """`(uri, bytes, sha256)` of every input file; files are hashed where they are read, so each must be under 2 GB.
+
+    For larger files, `fingerprint` takes the lines instead.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    return files.select(F.col("path").alias("uri"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def manifest_fingerprint(manifest: DataFrame, max_files: int = 100_000) -> DataFrame:
+    """One row: files, bytes and a digest of the manifest in order of uri; more than `max_files` files raise."""
+    if manifest.limit(max_files + 1).count() > max_files:
+        raise ValueError(f"the manifest has more than {max_files} files")
+    rows = F.sort_array(F.collect_list(F.struct("uri", "bytes", "sha256")))
+    text = F.array_join(F.transform(rows, lambda x: F.concat_ws("\t", x["uri"], x["bytes"].cast("string"), x["sha256"])), "\n")
+    return manifest.agg(F.count("*").alias("n_files"), F.sum("bytes").alias("n_bytes"), F.sha2(text, 256).alias("fingerprint"))
+
+
+def policy_hash(mode: str) -> str:
+    """A digest of what decides which lines count: fields, event types, limits and the group mode."""
+    rules = {"fields": FIELDS, "types": S.EVENT_TYPES, "line_bytes": MAX_LINE_BYTES, "key_bytes": S.MAX_KEY_BYTES, "unknown": S.UNKNOWN, "time": S.TIME_FORMAT, "mode": mode}
+    return hashlib.sha256(json.dumps(rules, sort_keys=True).encode()).hexdigest()
+
+
 def fingerprint(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """Order-insensitive fingerprint of a data set: lines, bytes and a sum of 60-bit digests of the lines."""
     head = F.conv(F.substring(F.sha2(line_col, 256), 1, 15), 16, 10).cast("decimal(38,0)")
@@ -65,12 +98,21 @@ def sample_entities(rows: DataFrame, key: str, rate: float, seed: int = 1) -> Da
 
 
 def capped(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """At most n rows, those of the smallest seeded hash of their key."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """At most n rows, those of the smallest seeded SHA-256 digest of their key."""
+    return rows.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(n)
+
 
+def fit_validation(rows: DataFrame, key: str, seed: int, validation_percent: int = 20, portable: bool = False) -> DataFrame:
+    """Add `part`: fit or validation by the key's hash; rows of the test split stay test.
 
-def fit_validation(rows: DataFrame, key: str, seed: int, validation_percent: int = 20) -> DataFrame:
-    """Add `part`: fit or validation by the key's hash; rows of the test split stay test."""
-    held = S.hash_bucket(key, seed) < validation_percent
-    part = F.when(F.col("split") == "test", "test").when(held, "validation").otherwise("fit")
+    The hash is Spark's 64-bit one or, if `portable`, a digest that any engine has.
+    """
+    bucket = S.digest_bucket([F.col(key).cast("string"), F.lit(str(seed))], 100) if portable else S.hash_bucket(key, seed)
+    part = F.when(F.col("split") == "test", "test").when(bucket < validation_percent, "validation").otherwise("fit")
     return rows.withColumn("part", part)
+
+
+def final_train_set(parts: DataFrame, *order: str) -> DataFrame:
+    """The fit and validation parts together, with a `row` number from 0 in the given total order."""
+    both = parts.where("part = 'fit'").unionByName(parts.where("part = 'validation'"))
+    return numbered(both, *order)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import scalars as S
+from tallyforge.functions.numbering import running_sums
+
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
@@ -33,26 +36,31 @@ def binary_metrics(predictions: DataFrame, *keys: str) -> DataFrame:
     return counts.withColumns(metrics_of(*map(F.col, ("tp", "fp", "fn", "tn"))))
 
 
+def _curve(each: DataFrame, *keys: str) -> DataFrame:
+    """The curve over `each(keys, score, pos, neg)`, one row a score."""
+    so_far = running_sums(each, keys, [F.desc("score")], {"pos": "tp", "neg": "fp"})
+    total = [F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")]
+    return so_far.join(each.groupBy(*keys).agg(*total), list(keys)) if keys else so_far.crossJoin(F.broadcast(each.agg(*total)))
+
+
 def score_curve(scored: DataFrame, *keys: str) -> DataFrame:
     """True and false positives when everything of at least a score is predicted, a row a score.
 
-    Rows are aggregated by score first, so the window holds distinct scores only.
+    Rows are aggregated by score first, and the running sums go over ranges of scores, not over one task a key.
     """
-    each = scored.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return each.select(
-        *keys, "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), "pos", F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg")
-    )
+    return _curve(scored.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")), *keys)
 
 
-def average_precision(scored: DataFrame, *keys: str) -> DataFrame:
-    """Step-wise average precision; equal scores count together; 0 without positives."""
-    steps = score_curve(scored, *keys)
+def _precision(steps: DataFrame, *keys: str) -> DataFrame:
     gain = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
     return steps.groupBy(*keys).agg(F.coalesce(_share(F.sum(gain), F.max("all_pos")), F.lit(0.0)).alias("average_precision"))
 
 
+def average_precision(scored: DataFrame, *keys: str) -> DataFrame:
+    """Step-wise average precision; equal scores count together; 0 without positives."""
+    return _precision(score_curve(scored, *keys), *keys)
+
+
 def best_threshold(scored: DataFrame, *keys: str) -> DataFrame:
     """The score at which predicting everything of at least it has the best F1; ties to the larger score."""
     steps = score_curve(scored, *keys)
@@ -61,6 +69,21 @@ def best_threshold(scored: DataFrame, *keys: str) -> DataFrame:
     return steps.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.threshold", "b.f1")
 
 
+def at_thresholds(scored: DataFrame, cuts: DataFrame) -> DataFrame:
+    """`(threshold, tp, fp, fn, tn, rates)` of predicting 1 from each `cuts(threshold)` on, all from one curve.
+
+    A threshold's counts are those of the smallest score that reaches it, found by a union and a running maximum
+    rather than by comparing every score with every threshold.
+    """
+    steps = score_curve(scored)
+    total = steps.agg(F.coalesce(F.max("all_pos"), F.lit(0)).alias("p"), F.coalesce(F.max("all_neg"), F.lit(0)).alias("n"))
+    each = scored.groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).withColumn("cut", F.lit(0))
+    spots = cuts.select(F.col("threshold").alias("score"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg"), F.lit(1).alias("cut")).distinct()
+    found = running_sums(each.unionByName(spots), (), [F.desc("score"), F.asc("cut")], {"pos": "tp", "neg": "fp"}).where("cut = 1")
+    counts = found.crossJoin(F.broadcast(total)).select(F.col("score").alias("threshold"), "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("n") - F.col("fp")).alias("tn"))
+    return counts.withColumns(metrics_of(*map(F.col, ("tp", "fp", "fn", "tn"))))
+
+
 def choose_k(sweep: DataFrame) -> DataFrame:
     """The row of a sweep `(k, threshold, f1)` of the best F1; ties to the smaller k."""
     return sweep.orderBy(F.desc("f1"), "k").limit(1)
@@ -77,31 +100,47 @@ def history_rule(labelled: DataFrame) -> DataFrame:
     return labelled.withColumn("prediction", (F.col("purchases") > 0).cast("int"))
 
 
-def draws(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Bootstrap resamples of rows numbered `i` from 0: `(b, i)` drawn with replacement, reproducibly.
+def weighted(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Bootstrap replicates of rows with a key `i`: each row once a replicate `b` it falls in, with its Poisson(1) `weight`.
 
-    Draw j of replicate b takes row digest(seed, b, j) mod n, so any engine with SHA-256 draws the same rows.
+    The weight is drawn from a digest of seed, replicate and key, so any engine with SHA-256 draws the same. What follows
+    is a sum by replicate, which Spark adds up before it shuffles; nothing is joined.
     """
-    n = rows.agg(F.count("*").alias("n"))
-    spots = rows.select(F.col("i").alias("j")).crossJoin(F.broadcast(n)).select("j", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))
-    pick = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("bigint") % F.col("n")
-    return spots.select("b", pick.alias("i"))
+    many = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return many.withColumn("weight", S.poisson_one(S.digest_uniform(F.lit(seed), "b", "i"))).where("weight > 0")
+
+
+def _weighted_f1(prediction: str) -> list[Column]:
+    y, p = F.col("label") == 1, F.col(prediction) == 1
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0))
+    return [total(y & p), total(~y & p), total(y & ~p)]
+
+
+def _f1(tp: Column, fp: Column, fn: Column) -> Column:
+    return _share(2 * tp, 2 * tp + fp + fn)
 
 
 def bootstrap_f1(predictions: DataFrame, replicates: int = 1000, seed: int = 7) -> DataFrame:
-    """The F1 of each resample of `predictions(i, label, prediction)`."""
-    drawn = draws(predictions, replicates, seed).groupBy("b", "i").agg(F.count("*").alias("times"))
-    rows = drawn.join(predictions, "i")
-    y, p, w = F.col("label") == 1, F.col("prediction") == 1, F.col("times")
-    total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
-    counts = rows.groupBy("b").agg(total(y & p).alias("tp"), total(~y & p).alias("fp"), total(y & ~p).alias("fn"))
-    return counts.select("b", _share(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    """`(b, f1)`: the F1 of each replicate of `predictions(i, label, prediction)`."""
+    return weighted(predictions, replicates, seed).groupBy("b").agg(_f1(*_weighted_f1("prediction")).alias("f1"))
+
+
+def bootstrap_difference(predictions: DataFrame, other: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
+    """`(b, difference)`: the F1 of `prediction` less that of the column `other`, on the same draws."""
+    gap = _f1(*_weighted_f1("prediction")) - _f1(*_weighted_f1(other))
+    return weighted(predictions, replicates, seed).groupBy("b").agg(gap.alias("difference"))
+
+
+def bootstrap_average_precision(scored: DataFrame, replicates: int = 1000, seed: int = 7) -> DataFrame:
+    """`(b, average_precision)` of each replicate of `scored(i, label, score)`."""
+    w = F.col("weight")
+    each = weighted(scored, replicates, seed).groupBy("b", "score").agg(F.sum(w * F.col("label")).alias("pos"), F.sum(w * (1 - F.col("label"))).alias("neg"))
+    return _precision(_curve(each, "b"), "b")
 
 
 def bootstrap_mean(values: DataFrame, replicates: int = 1000, seed: int = 7) -> DataFrame:
-    """The mean of each resample of `values(i, value)`."""
-    return draws(values, replicates, seed).join(values, "i").groupBy("b").agg(F.avg("value").alias("mean"))
+    """`(b, mean)`: the mean of each replicate of `values(i, value)`."""
+    return weighted(values, replicates, seed).groupBy("b").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("mean"))
 
 
 def interval(replicates: DataFrame, column: str) -> DataFrame:

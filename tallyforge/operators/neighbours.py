@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -14,48 +14,60 @@ from pyspark.sql import types as T
 
 from tallyforge.functions import scalars as S
 
-#: Numbers of a block of reference rows that is broadcast at once.
-BLOCK_NUMBERS = 4_000_000
+#: Numbers of a block of rows that meets another block in one task.
+BLOCK_NUMBERS = 1_000_000
+
+
+def _blocks(rows: DataFrame, key: str, block_numbers: int) -> tuple[DataFrame, int]:
+    """Rows dealt into blocks of bounded size `(block, items)`, and how many there are."""
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
+    blocks = max(1, -(-size.n * (size.d or 1) // block_numbers))
+    dealt = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+    return dealt.agg(F.collect_list(F.struct(*rows.columns)).alias("items")), blocks
 
 
 def exact(reference: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
     """`(query_id, neighbour_row, neighbour_id, distance, place)`: the k nearest reference rows of each query.
 
-    `reference(row, id, features)` is taken in blocks of bounded size, each broadcast to the query partitions;
-    the blocks' best are merged by a window. Distance is squared Euclidean; ties go to the lower row.
-    `queries(query_id, features)`; with `exclude_self`, a reference row of the query's id is no neighbour.
+    Queries and reference rows are dealt into blocks of bounded size, each block of queries is joined with the number
+    of every block of rows, and a task keeps a pair of blocks' k best by a matrix product and exact distances of what
+    comes near; a window merges them. Nothing passes through the driver. Distance is squared Euclidean, summed in
+    column order; ties go to the lower row. `reference(row, id, features)`, `queries(query_id, features)`; with
+    `exclude_self`, a reference row of the query's id is no neighbour.
     """
-    size = reference.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
-    blocks = max(1, -(-size.n * (size.d or 1) // block_numbers))
-    kind = queries.schema["query_id"].dataType
-    schema = T.StructType([T.StructField("query_id", kind), T.StructField("neighbour_row", T.LongType()), T.StructField("neighbour_id", reference.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
-    out = None
-    for b in range(blocks):
-        part = reference.where(F.pmod("row", F.lit(blocks)) == b).orderBy("row").collect() if blocks > 1 else reference.orderBy("row").collect()
-        if not part:
-            continue
-        shared = queries.sparkSession.sparkContext.broadcast((np.array([r.row for r in part]), [r.id for r in part], np.array([r.features for r in part], dtype=float)))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            rows, ids, points = shared.value
-            for batch in batches:
-                found = []
-                for qid, q in zip(batch.query_id, batch.features):
-                    d = np.zeros(len(rows))
-                    for j, x in enumerate(q):
-                        d += (points[:, j] - x) ** 2
-                    want = min(len(d), k + (1 if exclude_self else 0))
-                    near = np.flatnonzero(d <= np.partition(d, want - 1)[want - 1])
-                    near = [i for i in near[np.lexsort((rows[near], d[near]))] if not (exclude_self and ids[i] == qid)][:k]
-                    found += [(qid, int(rows[i]), ids[i], float(d[i])) for i in near]
-                yield pd.DataFrame(found, columns=schema.names)
-
-        one = queries.select("query_id", "features").mapInPandas(search, schema)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = queries.sparkSession.createDataFrame([], schema)
+    near, blocks = _blocks(reference.select("row", "id", "features"), "row", block_numbers)
+    asked, _ = _blocks(queries.select("query_id", "features"), "query_id", block_numbers)
+    kinds = queries.schema["query_id"].dataType, reference.schema["id"].dataType
+    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("neighbour_row", T.LongType()), T.StructField("neighbour_id", kinds[1]), T.StructField("distance", T.DoubleType())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ask, ref in zip(batch.column(0), batch.column(1)):
+                names, rows, ids = ask.values.field("query_id"), ref.values.field("row").to_numpy(), ref.values.field("id")
+                q, r = (x.values.field("features").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x.values), -1) for x in (ask, ref))
+                squares = (r * r).sum(axis=1)
+                rough = (q * q).sum(axis=1)[:, None] + squares[None, :] - 2 * (q @ r.T)
+                if exclude_self:
+                    places: dict = {}
+                    for at, name in enumerate(ids.to_pylist()):
+                        places.setdefault(name, []).append(at)
+                    for i, name in enumerate(names.to_pylist()):
+                        rough[i, places.get(name, [])] = np.inf
+                want = min(k, len(rows))
+                limit = np.partition(rough, want - 1, axis=1)[:, want - 1] + 1e-9 * (1 + squares.max() + (q * q).sum(axis=1))
+                i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+                d = np.zeros(len(i))
+                for x in range(q.shape[1]):
+                    d += (q[i, x] - r[j, x]) ** 2
+                best = np.lexsort((rows[j], d, i))
+                i, j, d = i[best], j[best], d[best]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(i[first])), pa.array(rows[j[first]]), ids.take(pa.array(j[first])), pa.array(d[first])], names=schema.names)
+
+    met = asked.select(F.col("items").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(near.withColumn("block", F.col("block").cast("int")), "block")
+    found = met.select("asked", "items").mapInArrow(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_row"))
-    return out.withColumn("place", rank).where(F.col("place") <= k)
+    return found.withColumn("place", rank).where(F.col("place") <= k)
 
 
 def listed(neighbours: DataFrame) -> DataFrame:
@@ -96,7 +108,8 @@ def random_neighbours(queries: DataFrame, reference: DataFrame, k: int, seed: in
 
 
 def popular_neighbours(queries: DataFrame, popular: DataFrame, k: int) -> DataFrame:
-    """The k most viewed products other than the query: `popular(id, place)` holds k + 1 of them."""
+    """The k most viewed products other than the query: of `popular(id, place)` the first k + 1 are used."""
+    popular = popular.orderBy("place").limit(k + 1)
     rows = queries.select("query_id").crossJoin(F.broadcast(popular)).where(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
     return rows.select("query_id", F.col("id").alias("neighbour_id"), rank.alias("place")).where(F.col("place") <= k)

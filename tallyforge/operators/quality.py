@@ -10,16 +10,23 @@ DISTINCTS = ("product_id", "category_id", "category_code", "brand", "user_id", "
 
 
 def profile(events: DataFrame, approximate: bool = False) -> DataFrame:
-    """One row: rows, first and last time, nulls, zero prices and distinct values (exact unless `approximate`)."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    return events.agg(
+    """One row: rows, first and last time, nulls, zero prices and distinct values (exact unless `approximate`).
+
+    Exact distinct counts take one narrow pass of (column, hash) pairs, not a copy of every row for each column.
+    """
+    simple = [
         F.count("*").alias("n_rows"),
         F.min("event_time").alias("first_time"),
         F.max("event_time").alias("last_time"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ("category_id", "category_code", "brand", "user_session")],
         F.count_if(F.col("price_minor") == 0).alias("zero_prices"),
-        *[distinct(F.col(c)).alias(f"distinct_{c}") for c in DISTINCTS],
-    )
+    ]
+    if approximate:
+        return events.agg(*simple, *[F.approx_count_distinct(F.col(c)).alias(f"distinct_{c}") for c in DISTINCTS])
+    pair = lambda k, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("k"), F.xxhash64(c).alias("a"), F.xxhash64(c, F.lit(k)).alias("b")))
+    values = events.select(F.explode(F.array_compact(F.array(*[pair(k, c) for k, c in enumerate(DISTINCTS)]))).alias("v")).select("v.*").distinct()
+    counts = values.agg(*[F.count_if(F.col("k") == k).alias(f"distinct_{c}") for k, c in enumerate(DISTINCTS)])
+    return events.agg(*simple).crossJoin(F.broadcast(counts))
 
 
 def events_per_type(events: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 
+from . import compare, neighbours
 from .clusters import assign
 
 
@@ -38,6 +39,24 @@ def score_raw(raw: DataFrame, parameters: dict[str, tuple[float, float]], center
     return marked.join(found, key).withColumn("out_of_domain", F.size("warnings") > 0)
 
 
+def score_raw_neighbours(raw: DataFrame, parameters: dict[str, tuple[float, float]], train: DataFrame, k: int, threshold: float, min_views: int, key: str = "product_id") -> DataFrame:
+    """Vote shares and labels for a table of raw counts by `train(row, id, features, label)`, with the rules each row breaks.
+
+    A row whose features are undefined (no views) gets no vote.
+    """
+    featured = raw.where("views > 0").withColumns(S.feature_columns())
+    asked = standardize(featured, parameters, key).withColumnRenamed(key, "query_id")
+    found = neighbours.exact(train.select("row", "id", "features"), asked, k)
+    votes = neighbours.vote_share(found, train.select(F.col("row").alias("neighbour_row"), "label"), k, threshold).withColumnRenamed("query_id", key)
+    marked = raw.withColumn("warnings", S.domain_warnings(min_views))
+    return marked.join(votes, key, "left").withColumn("out_of_domain", F.size("warnings") > 0)
+
+
+def replay(saved: DataFrame, again: DataFrame, key: str, values: tuple[str, ...], tolerance: float = 1e-12) -> DataFrame:
+    """Rows of saved predictions that scoring once more doesn't give within the tolerance: `(key, reason)`, none if all is well."""
+    return compare.differences(saved, again, key, values, tolerance)
+
+
 def fit_logistic(rows: DataFrame) -> LogisticRegressionModel:
     """The plain logistic reference on `z` and `label`, without regularization."""
     return LogisticRegression(featuresCol="z", labelCol="label", maxIter=100, regParam=0.0).fit(rows)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.functions.numbering import numbered
 from tallyforge.operators import catalog, evaluate, features
 
 from .base import query
@@ -168,32 +169,74 @@ def best_threshold(spark, folder):
     return evaluate.best_threshold(predictions(spark, folder), "split")
 
 
-def _numbered_test(spark, folder):
+REPLICATES = 1000
+
+
+def _test_rows(spark, folder):
+    """Test rows with the history rule, a cut of the graded score as another rule, and a key."""
     rows = predictions(spark, folder).where("split = 'test'")
-    return numbered(rows.select(*KEYS, "label", "prediction"), *KEYS, name="i")
+    return rows.select(F.concat_ws("/", *KEYS).alias("i"), "label", "prediction", "score", (F.col("score") >= 0.5).cast("int").alias("other"))
 
 
+_CUMULATIVE = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+_WEIGHT = " + ".join(f"CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in _CUMULATIVE)
 _DRAWS = [
     *_PREDICTED,
-    "t AS (SELECT *, row_number() OVER (ORDER BY product_id, user_id) - 1 AS i FROM predicted WHERE split = 'test')",
-    "n AS (SELECT count(*) AS n FROM t)",
-    "d AS (SELECT b.b, ('0x' || substr(sha256('7:' || b.b || ':' || t.i), 1, 12))::BIGINT % n.n AS i FROM t, n, (SELECT unnest(range(50)) AS b) b)",
-    """f AS (SELECT b, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM (SELECT b, count(*) FILTER (label = 1 AND prediction = 1) AS tp,
-  count(*) FILTER (label = 0 AND prediction = 1) AS fp, count(*) FILTER (label = 1 AND prediction = 0) AS fn FROM d JOIN t USING (i) GROUP BY b))""",
+    "t AS (SELECT product_id || '/' || user_id AS i, label, prediction, score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS other FROM predicted WHERE split = 'test')",
+    f"u AS (SELECT b.b, t.*, ('0x' || substr(sha256('7:' || b.b || ':' || t.i), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM t, (SELECT unnest(range({REPLICATES})) AS b) b)",
+    f"d AS (SELECT *, {_WEIGHT} AS w FROM u)",
+    """counts AS (SELECT b, coalesce(sum(w) FILTER (label = 1 AND prediction = 1), 0) AS tp, coalesce(sum(w) FILTER (label = 0 AND prediction = 1), 0) AS fp, coalesce(sum(w) FILTER (label = 1 AND prediction = 0), 0) AS fn,
+  coalesce(sum(w) FILTER (label = 1 AND other = 1), 0) AS tp2, coalesce(sum(w) FILTER (label = 0 AND other = 1), 0) AS fp2, coalesce(sum(w) FILTER (label = 1 AND other = 0), 0) AS fn2, sum(w * score) / sum(w) AS mean FROM d GROUP BY b)""",
+    """f AS (SELECT b, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1,
+  CASE WHEN 2 * tp2 + fp2 + fn2 > 0 THEN 2 * tp2 / (2 * tp2 + fp2 + fn2) ELSE 0 END AS other_f1, mean FROM counts)""",
 ]
 
 
 @query(with_sql("SELECT CAST(b AS INTEGER) AS b, round(f1, 9) AS f1 FROM f", *_DRAWS))
 def bootstrap_f1(spark, folder):
-    return rounded(evaluate.bootstrap_f1(_numbered_test(spark, folder), 50, 7), ("f1",))
+    return rounded(evaluate.bootstrap_f1(_test_rows(spark, folder), REPLICATES, 7), ("f1",))
 
 
 @query(with_sql("SELECT round(quantile_cont(f1, 0.025), 9) AS low, round(quantile_cont(f1, 0.975), 9) AS high FROM f", *_DRAWS))
 def bootstrap_interval(spark, folder):
-    return rounded(evaluate.interval(evaluate.bootstrap_f1(_numbered_test(spark, folder), 50, 7), "f1"), ("low", "high"))
+    return rounded(evaluate.interval(evaluate.bootstrap_f1(_test_rows(spark, folder), REPLICATES, 7), "f1"), ("low", "high"))
+
+
+@query(with_sql("SELECT round(quantile_cont(f1 - other_f1, 0.025), 9) AS low, round(quantile_cont(f1 - other_f1, 0.975), 9) AS high FROM f", *_DRAWS))
+def bootstrap_difference_interval(spark, folder):
+    return rounded(evaluate.interval(evaluate.bootstrap_difference(_test_rows(spark, folder), "other", REPLICATES, 7), "difference"), ("low", "high"))
+
+
+@query(with_sql("SELECT round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM f", *_DRAWS))
+def bootstrap_mean_interval(spark, folder):
+    values = _test_rows(spark, folder).withColumnRenamed("score", "value")
+    return rounded(evaluate.interval(evaluate.bootstrap_mean(values, REPLICATES, 7), "mean"), ("low", "high"))
+
+
+_AP = [
+    *_DRAWS,
+    "s AS (SELECT b, score, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM d WHERE w > 0 GROUP BY b, score)",
+    """c AS (SELECT *, sum(pos) OVER v AS tp, sum(neg) OVER v AS fp, sum(pos) OVER (PARTITION BY b) AS all_pos FROM s WINDOW v AS (PARTITION BY b ORDER BY score DESC ROWS UNBOUNDED PRECEDING))""",
+    "ap AS (SELECT b, CASE WHEN max(all_pos) > 0 THEN sum(pos * tp / (tp + fp)) / max(all_pos) ELSE 0 END AS ap FROM c GROUP BY b)",
+]
+
+
+@query(with_sql("SELECT round(quantile_cont(ap, 0.025), 9) AS low, round(quantile_cont(ap, 0.975), 9) AS high FROM ap", *_AP))
+def bootstrap_precision_interval(spark, folder):
+    return rounded(evaluate.interval(evaluate.bootstrap_average_precision(_test_rows(spark, folder), REPLICATES, 7), "average_precision"), ("low", "high"))
 
 
-@query()
+_BUCKET = "('0x' || substr(sha256(product_id || chr(0) || '11'), 1, 8))::BIGINT"
+_PARTS = [*_BOTH, f"parted AS (SELECT *, CASE WHEN split = 'test' THEN 'test' WHEN (((CASE WHEN {_BUCKET} >= 2147483648 THEN {_BUCKET} - 4294967296 ELSE {_BUCKET} END) % 100) + 100) % 100 < 20 THEN 'validation' ELSE 'fit' END AS part FROM labelled)"]
+
+
+@query(with_sql("SELECT part, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS positives FROM parted GROUP BY part", *_PARTS))
 def fit_validation_parts(spark, folder):
-    parts = catalog.fit_validation(labels(spark, folder), "product_id", 11)
+    parts = catalog.fit_validation(labels(spark, folder), "product_id", 11, portable=True)
     return parts.groupBy("part").agg(F.count("*").alias("n_rows"), F.sum("label").alias("positives"))
+
+
+@query(with_sql("SELECT product_id, user_id, part, row_number() OVER (ORDER BY product_id, user_id) - 1 AS row FROM parted WHERE part <> 'test'", *_PARTS))
+def final_train_set(spark, folder):
+    parts = catalog.fit_validation(labels(spark, folder), "product_id", 11, portable=True)
+    return catalog.final_train_set(parts, *KEYS).select("product_id", "user_id", "part", "row")

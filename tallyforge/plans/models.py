@@ -7,12 +7,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.functions.tables import durable
-from tallyforge.operators import clusters, evaluate, features, neighbours, pages, registry
+from tallyforge.functions.numbering import numbered
+from tallyforge.functions.tables import durable, new_folder
+from tallyforge.operators import catalog, clusters, evaluate, features, neighbours, pages, registry
+from tallyforge.sources import writers
 
 from .base import query
 from .behaviour import KEYS, MIN_VIEWS, curated, table, with_sql
-from .learning import _FEATURES, _stats, labels
+from .learning import _BOTH, _FEATURES, _stats, labels
 
 _PRODUCTS = f"products AS (SELECT *, {_FEATURES} FROM ({_stats('curated', 'product_id, user_id')}) WHERE views >= {MIN_VIEWS})"
 
@@ -67,8 +69,12 @@ def _scaled(spark, folder):
 
 @query()
 def kmeans_sweep(spark, folder):
+    """Every K from 2 to 10 with three seeds, and the one that is chosen."""
     rows = _scaled(spark, folder).select("item", "z").cache()
-    return clusters.sweep_summary(clusters.sweep(rows, (2, 3), (1, 2)))
+    summary = clusters.sweep_summary(clusters.sweep(rows, tuple(range(2, 11)), (1, 2, 3)))
+    rows.unpersist()
+    chosen = clusters.choose(summary).select("k", F.lit(True).alias("chosen"))
+    return summary.join(F.broadcast(chosen), "k", "left").na.fill(False, ["chosen"])
 
 
 @query()
@@ -78,7 +84,7 @@ def kmeans_clusters(spark, folder):
     return model.transform(rows).select("item", "cluster", *S.FEATURES)
 
 
-@query()
+@query(with_sql("SELECT count(*) AS n_rows, 1.0::DOUBLE AS agreement FROM products", _PRODUCTS))
 def kmeans_parity(spark, folder):
     """Assignments by the model and by its saved centers, which must be the same."""
     rows = _scaled(spark, folder)
@@ -160,11 +166,18 @@ def knn_confusion(spark, folder):
     return evaluate.confusion(votes(spark, folder))
 
 
-@query()
+_SWEEP = f"""{_NEAR}, ks AS (SELECT unnest([3, 5, 9, 15]) AS k),
+scored AS (SELECT k, query_id, max(CASE WHEN own < 3 THEN 1 ELSE 0 END) AS label, avg(CASE WHEN label < 3 THEN 1.0::DOUBLE ELSE 0 END) AS score FROM near JOIN ks ON place <= k GROUP BY k, query_id),
+each AS (SELECT k, round(score, 9) AS score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY 1, 2),
+curve AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY k) AS all_pos FROM each WINDOW w AS (PARTITION BY k ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+best AS (SELECT * FROM (SELECT k, score AS threshold, round(2 * tp / (tp + fp + all_pos), 12) AS f1, row_number() OVER (PARTITION BY k ORDER BY round(2 * tp / (tp + fp + all_pos), 12) DESC, score DESC) AS r FROM curve) WHERE r = 1)"""
+
+
+@query(f"WITH {_SWEEP} SELECT k, threshold, f1, row_number() OVER (ORDER BY f1 DESC, k) = 1 AS chosen FROM best")
 def knn_sweep(spark, folder):
     """The best threshold of several K from one neighbour search, the chosen one first."""
     truth = vectors(spark, folder).select(F.col("row").alias("neighbour_row"), (F.col("label") < 3).cast("int").alias("label"))
-    scored = neighbours.vote_sweep(all_neighbours(spark, folder, 15), truth, (3, 5, 9, 15))
+    scored = neighbours.vote_sweep(all_neighbours(spark, folder, 15), truth, (3, 5, 9, 15)).withColumn("score", F.round("score", 9))
     labelled = scored.join(truth.withColumnRenamed("neighbour_row", "query_id"), "query_id")
     table_ = evaluate.best_threshold(labelled, "k")
     chosen = evaluate.choose_k(table_).select("k", F.lit(True).alias("chosen"))
@@ -177,14 +190,24 @@ def label_agreement(spark, folder):
     return neighbours.agreement(all_neighbours(spark, folder, 20), codes).withColumn("agreement", F.round("agreement", 6))
 
 
-@query()
+_DRAWN = "('0x' || substr(sha256('3:' || query_id || ':' || place), 1, 12))::BIGINT % (SELECT count(*) FROM embeddings)"
+_BASELINES = f"""WITH asked AS (SELECT vec_id AS query_id, label AS own FROM embeddings), places AS (SELECT *, unnest(range(1, 21)) AS place FROM asked),
+drawn AS (SELECT 'random' AS baseline, p.query_id, p.own, p.place, e.label FROM (SELECT *, {_DRAWN} AS row FROM places) p JOIN embeddings e ON e.vec_id = p.row),
+most AS (SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 21),
+popular AS (SELECT 'popular' AS baseline, query_id, own, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS place, label FROM asked JOIN most ON vec_id <> query_id),
+found AS (SELECT * FROM drawn UNION ALL SELECT * FROM popular WHERE place <= 20), ks AS (SELECT unnest([5, 10, 20]) AS k),
+each AS (SELECT baseline, k, query_id, avg(CASE WHEN label = own THEN 1.0::DOUBLE ELSE 0 END) AS share FROM found JOIN ks ON place <= k GROUP BY baseline, k, query_id)
+SELECT baseline, k, round(avg(share), 6) AS agreement, count(*) AS queries FROM each GROUP BY baseline, k"""
+
+
+@query(_BASELINES)
 def agreement_baselines(spark, folder):
     """Agreement of random neighbours and of the smallest ids taken as the popular ones."""
     rows = vectors(spark, folder)
     asked, codes = rows.select(F.col("id").alias("query_id")), rows.select("id", F.col("label").alias("code"))
     popular = pages.leaders(rows.select("id", (-F.col("id")).alias("views")), "views", "id", 21).withColumn("place", F.col("id") + 1)
     found = {"random": neighbours.random_neighbours(asked, rows, 20), "popular": neighbours.popular_neighbours(asked, popular.select("id", "place"), 20)}
-    parts = [neighbours.agreement(n, codes).withColumn("baseline", F.lit(name)) for name, n in found.items()]
+    parts = [neighbours.agreement(n, codes).withColumns({"baseline": F.lit(name), "agreement": F.round("agreement", 6)}) for name, n in found.items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -224,20 +247,47 @@ def raw_scores(spark, folder):
 
 @query()
 def logistic_reference(spark, folder):
-    """Test metrics of logistic regression at the threshold of the best F1 among 201 quantiles of the train scores."""
-    rows = durable(labels(spark, folder)).withColumn("item", F.concat_ws("/", *KEYS))
+    """Test metrics of logistic regression, fitted on the fit part, at the threshold of the best F1 among 201 quantiles of the validation scores."""
+    rows = durable(catalog.fit_validation(labels(spark, folder), "product_id", 11)).withColumn("item", F.concat_ws("/", *KEYS))
     columns = (*S.FEATURES, "recent_view_share")
-    train = rows.where("split = 'train'")
-    scaled = clusters.scaler(train, columns).transform(rows)
-    model = registry.fit_logistic(scaled.where("split = 'train'").select("z", "label"))
-    scored = durable(registry.logistic_scores(model, scaled, "item", "split", "label"))
-    cuts = registry.quantile_thresholds(scored.where("split = 'train'"))
-    tried = scored.where("split = 'train'").crossJoin(F.broadcast(cuts)).withColumn("prediction", (F.col("score") >= F.col("threshold")).cast("int"))
-    best = evaluate.binary_metrics(tried, "threshold").orderBy(F.desc("f1"), F.desc("threshold")).limit(1).select("threshold")
-    judged = scored.where("split = 'test'").crossJoin(F.broadcast(best)).withColumn("prediction", (F.col("score") >= F.col("threshold")).cast("int"))
+    scaled = clusters.scaler(rows.where("part = 'fit'"), columns).transform(rows)
+    model = registry.fit_logistic(scaled.where("part = 'fit'").select("z", "label"))
+    scored = durable(registry.logistic_scores(model, scaled, "item", "part", "label"))
+    validation = scored.where("part = 'validation'")
+    best = evaluate.at_thresholds(validation, registry.quantile_thresholds(validation)).orderBy(F.desc("f1"), F.desc("threshold")).limit(1).select("threshold")
+    judged = scored.where("part = 'test'").crossJoin(F.broadcast(best)).withColumn("prediction", (F.col("score") >= F.col("threshold")).cast("int"))
     return evaluate.binary_metrics(judged, "threshold")
 
 
+@query()
+def raw_votes(spark, folder):
+    """Vote shares for raw counts by a neighbour model with saved parameters, with warnings."""
+    known = durable(catalog.final_train_set(catalog.fit_validation(labels(spark, folder), "product_id", 11), *KEYS).withColumn("item", F.concat_ws("/", *KEYS)))
+    parameters = {r.feature: (r.mean, r.std) for r in clusters.scaler_parameters(known, S.FEATURES).collect()}
+    train = registry.standardize(known, parameters, "row").join(known.select("row", F.col("item").alias("id"), "label"), "row")
+    raw = features.product_stats(curated(spark, folder), KEYS).withColumns({"recent_views": F.col("views"), "item": F.concat_ws("/", *KEYS)})
+    return registry.score_raw_neighbours(raw, parameters, train, 15, 0.4, 2, "item").select("item", "vote_share", "prediction", "warnings", "out_of_domain")
+
+
+@query(with_sql("SELECT CAST(0 AS BIGINT) AS differing, count(*) AS n_rows FROM test_snapshot", *_BOTH))
+def classifier_replay(spark, folder):
+    """A neighbour model written as artifacts, read back and scored again: how many votes differ by more than 1e-12."""
+    rows = durable(labels(spark, folder).withColumn("item", F.concat_ws("/", *KEYS)))
+    known = durable(numbered(rows.where("split = 'train'"), *KEYS))
+    parameters = clusters.scaler_parameters(known, S.FEATURES)
+
+    def scores(train, scaling):
+        saved = {r.feature: (r.mean, r.std) for r in scaling.collect()}
+        asked = registry.standardize(rows.where("split = 'test'"), saved, "item").withColumnRenamed("item", "query_id")
+        points = registry.standardize(train, saved, "row").join(train.select("row", F.col("item").alias("id")), "row")
+        return neighbours.vote_share(neighbours.exact(points, asked, 15), train.select(F.col("row").alias("neighbour_row"), "label"), 15, 0.4)
+
+    path = writers.write_model(spark, new_folder(spark, "models"), "m1", "knn", {}, {"train": known, "scaling": parameters, "predictions": scores(known, parameters)}, k=15, threshold=0.4)
+    saved = {name: spark.read.parquet(f"{path}/{name}") for name in ("train", "scaling", "predictions")}
+    wrong = registry.replay(saved["predictions"], scores(saved["train"], saved["scaling"]), "query_id", ("vote_share", "prediction"))
+    return wrong.agg(F.count("*").alias("differing")).crossJoin(saved["predictions"].agg(F.count("*").alias("n_rows")))
+
+
 @query()
 def projection(spark, folder):
     """Two principal components of the standardized features."""

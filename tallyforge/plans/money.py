@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import catalog, classify, compare, metrics, pages, quality, revenue
+from tallyforge.operators import catalog, classify, compare, metrics, pages, revenue
 
 from .base import query
 from .behaviour import LINES_SQL, SALES_SQL, curated, lines, sales, table, with_sql
@@ -106,13 +106,13 @@ def missing_codes(spark, folder):
 
 @query(
     with_sql(
-        """SELECT file, count(*) + 1 AS n_lines, CAST(1 AS BIGINT) AS headers, count(*) FILTER (reason = 'VALID_PURCHASE') AS valid_purchases,
-  count(*) FILTER (reason = 'MALFORMED_CSV') AS malformed, count(*) FILTER (reason = 'INVALID_GROUP') AS invalid_groups FROM reasons GROUP BY file""",
+        """SELECT file, count(*) + 1 AS n_lines, CAST(1 AS BIGINT) AS headers, true AS header_first, count(*) FILTER (reason = 'VALID_PURCHASE') AS valid_purchases,
+  count(*) FILTER (reason = 'MALFORMED_CSV') AS malformed, count(*) FILTER (reason = 'INVALID_GROUP') AS invalid_groups, CAST(0 AS BIGINT) AS overlong_keys FROM reasons GROUP BY file""",
         LINES_SQL.strip(),
     )
 )
 def preflight(spark, folder):
-    return catalog.preflight(lines(spark, folder))
+    return catalog.preflight(lines(spark, folder), order="event_id")
 
 
 @query(with_sql("SELECT event_id FROM reasons WHERE reason = 'MALFORMED_CSV' ORDER BY event_id LIMIT 20", LINES_SQL.strip()))
@@ -176,7 +176,7 @@ def sampled_users(spark, folder):
     return catalog.sample_entities(table(spark, folder, "events"), "user_id", 0.2).groupBy("user_id").agg(F.count("*").alias("n_events"))
 
 
-@query()
+@query("SELECT event_id, user_id FROM events ORDER BY sha256('5:' || event_id), event_id LIMIT 100")
 def capped_events(spark, folder):
     return catalog.capped(table(spark, folder, "events").select("event_id", "user_id"), "event_id", 100, 5)
 
@@ -224,14 +224,8 @@ def revenue_page_total(spark, folder):
     return pages.page_total(revenue.revenue(curated(spark, folder), "category_code"), "small")
 
 
-@query()
-def run_quality_conservation(spark, folder):
-    parsed = classify.parse_events(lines(spark, folder))
-    return quality.conservation(parsed, classify.curate(parsed))
-
-
-@query("SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS minor FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS minor FROM lineitem")
 def money_round_trip(spark, folder):
-    rows = table(spark, folder, "lineitem").where("l_linenumber = 1")
+    rows = table(spark, folder, "lineitem")
     text = S.money_text(F.round(F.col("l_extendedprice") * 100).cast("bigint"))
     return rows.select("l_orderkey", "l_linenumber", S.money_minor(text).alias("minor"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import learning, metrics, models, money  # noqa: F401  they register their queries
+from . import files, learning, metrics, models, money  # noqa: F401  they register their queries
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from tallyforge.functions import scalars as S
 
 
-def event_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """`(value, file)`: physical lines of the CSV files below the paths; a trailing CR stays.
+def event_lines(spark: SparkSession, *paths: str, glob: str = "*.csv") -> DataFrame:
+    """`(value, file, place)`: physical lines of the files below the paths that match `glob`; a trailing CR stays.
 
-    No file, or one file named twice, is an error.
+    `place` orders the lines of a file. No file, or a file that two paths name or hold, is an error.
     """
-    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").text(list(paths))
-    files = lines.inputFiles()
+
+    def below(*some: str) -> DataFrame:
+        return spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(list(some))
+
+    files = [f for path in paths for f in below(path).inputFiles()]
     if not files:
-        raise FileNotFoundError(f"no .csv file below {', '.join(paths)}")
-    if len(set(paths)) != len(paths):
-        raise ValueError("an input is named twice")
-    return lines.select("value", F.col("_metadata.file_path").alias("file"))
+        raise FileNotFoundError(f"no {glob} file below {', '.join(paths)}")
+    if len(set(files)) != len(files):
+        raise ValueError("a file is named twice")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return below(*paths).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
 
 
 def run_table(spark: SparkSession, root: str, run_id: str, required: tuple[str, ...] = ()) -> DataFrame:

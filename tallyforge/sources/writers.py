@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml.util import JavaMLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions import scalars as S
+from tallyforge.functions.tables import path_exists
+from tallyforge.operators import compare, metrics, quality, revenue
+
 
 def run_path(root: str, run_id: str) -> str:
     return f"{root}/run_id={run_id}"
@@ -14,13 +19,8 @@ def run_path(root: str, run_id: str) -> str:
 
 def require_new(spark: SparkSession, path: str) -> None:
     """Raise if the path exists, before any work is done."""
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").limit(1).count()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return
-        raise
-    raise FileExistsError(path)
+    if path_exists(spark, path):
+        raise FileExistsError(path)
 
 
 def write_curated(events: DataFrame, root: str, run_id: str) -> str:
@@ -43,9 +43,13 @@ def write_labels(labels: DataFrame, root: str, run_id: str) -> str:
     return path
 
 
-def export_csv(table: DataFrame, folder: str, *order: str) -> None:
-    """A small table as one ordered CSV file with a header; nulls are empty."""
-    table.orderBy(*order).coalesce(1).write.mode("errorifexists").option("header", True).option("nullValue", "").csv(folder)
+def export_csv(table: DataFrame, folder: str, *order: str, money: tuple[str, ...] = ()) -> None:
+    """A small table as one ordered CSV file with a header; nulls are empty.
+
+    For each `<name>_minor` column of `money` a column `<name>` shows the cents as an amount.
+    """
+    shown = table.withColumns({c.removesuffix("_minor"): S.money_text(c) for c in money}) if money else table
+    shown.orderBy(*order).coalesce(1).write.mode("errorifexists").option("header", True).option("nullValue", "").csv(folder)
 
 
 def write_record(spark: SparkSession, folder: str, **record) -> None:
@@ -60,6 +64,21 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def serving_tables(events: DataFrame, other_revenue: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a published run, each in order: revenue with codes, funnels, trend, parity with another result, quality."""
+    own, funnel = revenue.revenue(events), metrics.funnel_by_category(events)
+    return {
+        "revenue": revenue.with_codes(own, funnel).orderBy("group_key"),
+        "funnel_by_category": funnel.orderBy("category_id"),
+        "funnel_by_brand": metrics.funnel_by_brand(events).orderBy("brand"),
+        "trend_by_hour": metrics.trend_by_hour(events).orderBy("event_date", "event_hour"),
+        "parity": compare.parity(own, other_revenue),
+        "parity_differences": compare.first_differences(own, other_revenue),
+        "quality": quality.profile(events),
+        "events_per_type": quality.events_per_type(events).orderBy("event_type"),
+    }
+
+
 def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame]) -> str:
     """Write a bundle of small result tables under one run; the manifest, with row counts, comes last."""
     path = run_path(root, run_id)
@@ -73,3 +92,16 @@ def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataF
     listed = manifest(spark, path).withColumn("name", F.element_at(F.split("path", "/"), -2))
     listed.join(F.broadcast(counts), "name").coalesce(1).write.mode("errorifexists").parquet(f"{path}/_manifest_table")
     return path
+
+
+def write_model(spark: SparkSession, root: str, run_id: str, kind: str, models: dict[str, JavaMLWritable], tables: dict[str, DataFrame], **record) -> str:
+    """Write a model run: Spark ML models and tables (scaler parameters, centers, assignments, train set, predictions) by
+    name, and the record last, so that a run with a record is whole."""
+    path = run_path(root, run_id)
+    require_new(spark, path)
+    for name, model in models.items():
+        model.write().save(f"{path}/model_{name}")
+    for name, table in tables.items():
+        table.write.mode("errorifexists").parquet(f"{path}/{name}")
+    write_record(spark, f"{path}/record", model_type=kind, model_run=run_id, models=sorted(models), tables=sorted(tables), **record)
+    return path
