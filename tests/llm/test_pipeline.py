@@ -3,9 +3,8 @@
 import numpy as np
 import pytest
 from test_linededup import brute as brute_lines
+from test_neardup import brute as brute_classes
 from test_packing import check_packing, ids_of
-from test_simhash import brute as brute_classes
-from test_simhash import plain
 
 import corpus_pipeline
 from tallyforge.llm import decontaminate, linededup
@@ -44,8 +43,7 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     assert sorted(((r.doc_id, r.text, r.source) for r in cleaned), key=key) == sorted(want, key=key)
     assert all(r.n_chars == len(r.text) for r in cleaned)
 
-    named = {r.doc_id: plain(r.text) for r in cleaned if r.doc_id is not None}
-    classes = brute_classes(named)
+    classes = brute_classes(dict((r.doc_id, r.text) for r in cleaned if r.doc_id is not None).items())
     assert sorted(r.doc_id for r in single if r.doc_id is not None) == sorted(set(classes.values()))
 
     items = [word_hashes(r.text.encode(), marks=True) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
