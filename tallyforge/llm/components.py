@@ -18,8 +18,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     links = durable(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     )
-    before = None
-    for _ in range(rounds):
+    state = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    before = links.agg(*state).first()
+    for _ in range(rounds if before[0] else 0):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -28,12 +29,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links, last = durable(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()), links
         forget(last)
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = links.agg(*state).first()
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError("the components did not settle")
+        if before[0]:
+            raise RuntimeError("the components did not settle")
     roots = links.select("v").distinct()
     return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(
         roots.join(links.select(F.col("u").alias("v")), "v", "left_anti").select(F.col("v").alias("node"), F.col("v").alias("root"))
