@@ -69,13 +69,13 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(fine, F.lit(False)), v).alias("v")).where("v is not null and vec_id is not null")
     power = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.floor(F.log2(F.array_max(F.transform("v", F.abs)))).cast("double")))
-    return rows.withColumn("scale", F.pow(F.lit(2.0), -power)).select("vec_id", F.transform("v", lambda x: x * F.col("scale")).alias("vector"))
+    return rows.select("vec_id", F.zip_with("v", F.array_repeat(F.pow(F.lit(2.0), -power), F.size("v")), lambda x, y: x * y).alias("vector"))
 
 
 def _direction(vector: Column) -> list[Column]:
     """Two hashes of the direction; components past the end count as zeros."""
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda t, x: t + x * x))
-    places = F.transform(vector, lambda x: F.round(x / length * GRID).cast("long"))
+    places = F.zip_with(vector, F.array_repeat(length, F.size(vector)), lambda x, y: F.round(x / y * GRID).cast("long"))
     one = lambda seed: F.aggregate(F.transform(places, lambda x, i: F.when(x != 0, F.xxhash64(x, i, F.lit(seed))).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x))
     return [one(1), one(2)]
 
@@ -233,7 +233,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     """
     rows = usable(vectors, id_col, vec_col).dropDuplicates(["vec_id", "vector"])
     h, h2 = _direction(F.col("vector"))
-    keyed = rows.select("vec_id", "vector", h.alias("h"), h2.alias("h2"))
+    keyed = durable(rows.select("vec_id", "vector", h.alias("h"), h2.alias("h2")))
     place = F.row_number().over(Window.partitionBy("h", "h2").orderBy("vec_id", "vector"))
     first = keyed.withColumn("r", place).where(F.col("r") <= k + 1)
     groups = first.groupBy("h", "h2").agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("members"))
