@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bestfit, decontaminate, langid, linededup, pii, quality, simhash, tokenbin, toxicity
+from . import ann, bestfit, decontaminate, dialogue, langid, linededup, pii, quality, sharding, simhash, tokenbin, toxicity
 from .shared import held_out, table
 
 
@@ -91,6 +91,21 @@ def op10_token_rows(spark: SparkSession, folder: str) -> DataFrame:
     return tokenbin.pack_rows(table(spark, folder, "documents"))
 
 
+SHARDS, SHUFFLE_SEED = 24, 11
+
+
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document in a reproducible shuffle: 24 shards whose numbers of rows are at most one apart."""
+    sizes = sharding.shard_sizes(table(spark, folder, "documents"))
+    placed = sharding.assign(sizes, ("doc_id", "size", "text_crc32"), SHARDS, SHUFFLE_SEED)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_dialogue(spark: SparkSession, folder: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    return dialogue.summaries(dialogue.damaged(table(spark, folder, "conversations")), "present")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
@@ -102,5 +117,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_token_rows": op10_token_rows,
+    "op11_sharding": op11_sharding,
+    "op13_dialogue": op13_dialogue,
 }
 ORACLES = {"op7_line_dedup": OP7_SQL}
