@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bestfit, decontaminate, dialogue, langid, linededup, pii, quality, sharding, simhash, tokenbin, toxicity
+from . import ann, bestfit, decontaminate, dialogue, langid, linededup, phrases, pii, quality, sharding, simhash, tokenbin, toxicity
 from .shared import held_out, table
 
 
@@ -101,6 +101,37 @@ def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 best phrases of every language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+sizes AS (SELECT unnest([1, 2, 3, 4]) AS k),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, sizes WHERE len(w) >= k),
+counts AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cuts AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM counts WHERE k > 1),
+each AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score FROM cuts c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM each),
+longer AS (SELECT lang, k, a, string_split(phrase, ' ') AS w FROM counts WHERE k > 2),
+inside AS (
+  SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM longer, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < k AND i + m - 1 <= k),
+hidden AS (SELECT lang, phrase, max(a) AS longest FROM inside GROUP BY lang, phrase),
+ranked AS (
+  SELECT e.lang, row_number() OVER (PARTITION BY e.lang ORDER BY e.score DESC, e.a DESC, e.phrase) AS rank, e.phrase, e.a, e.l, e.r, e.score::BIGINT AS score
+  FROM lowest e LEFT JOIN hidden h ON h.lang = e.lang AND h.phrase = e.phrase WHERE e.place = 1 AND coalesce(100 * h.longest < 80 * e.a, true))
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+
 def op13_dialogue(spark: SparkSession, folder: str) -> DataFrame:
     """The cheapest repair of every damaged conversation."""
     return dialogue.summaries(dialogue.damaged(table(spark, folder, "conversations")), "present")
@@ -118,6 +149,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_rows": op10_token_rows,
     "op11_sharding": op11_sharding,
+    "op12_phrases": op12_phrases,
     "op13_dialogue": op13_dialogue,
 }
-ORACLES = {"op7_line_dedup": OP7_SQL}
+ORACLES = {"op7_line_dedup": OP7_SQL, "op12_phrases": OP12_SQL}
