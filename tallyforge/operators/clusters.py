@@ -78,7 +78,8 @@ def as_features(rows: DataFrame, *keep: str) -> DataFrame:
 
 def permuted(rows: DataFrame, columns: tuple[str, ...], key: str, seed: int) -> DataFrame:
     """Every column permuted on its own by a hash order, so that only their joint structure is lost."""
-    parts = [numbered(rows.select(key, c), F.xxhash64(key, F.lit(c), F.lit(seed)), key).select("row", c) for c in columns]
+    own = [rows.select(F.col(key).alias("_key"), c) for c in columns]
+    parts = [numbered(part, F.xxhash64("_key", F.lit(c), F.lit(seed)), "_key").select("row", c) for part, c in zip(own, columns)]
     return reduce(lambda a, b: a.join(b, "row"), parts)
 
 

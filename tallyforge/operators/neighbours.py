@@ -5,46 +5,155 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.functions import scalars as S
+from tallyforge.functions.tables import durable
 
-#: Numbers of a block of rows that meets another block in one task.
+#: Numbers of a block of rows that meets a block of queries in one task.
 BLOCK_NUMBERS = 1_000_000
+#: Pivots at most, and rings around a pivot by which its rows are counted and cut into blocks.
+PIVOTS, RINGS = 4096, 64
 
 
-def _blocks(rows: DataFrame, key: str, block_numbers: int) -> tuple[DataFrame, int]:
-    """Rows dealt into blocks of bounded size `(block, items)`, and how many there are."""
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
-    blocks = max(1, -(-size.n * (size.d or 1) // block_numbers))
-    dealt = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    return dealt.agg(F.collect_list(F.struct(*rows.columns)).alias("items")), blocks
+def _nearest_pivot(points: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distances to all pivots, and the nearest of them."""
+    squares = (points * points).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * (points @ pivots.T)
+    far = np.sqrt(np.maximum(squares, 0))
+    return far, far.argmin(axis=1)
 
 
-def exact(reference: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
-    """`(query_id, neighbour_row, neighbour_id, distance, place)`: the k nearest reference rows of each query.
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long arrays as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
-    Queries and reference rows are dealt into blocks of bounded size, each block of queries is joined with the number
-    of every block of rows, and a task keeps a pair of blocks' k best by a matrix product and exact distances of what
-    comes near; a window merges them. Nothing passes through the driver. Distance is squared Euclidean, summed in
-    column order; ties go to the lower row. `reference(row, id, features)`, `queries(query_id, features)`; with
-    `exclude_self`, a reference row of the query's id is no neighbour.
-    """
-    near, blocks = _blocks(reference.select("row", "id", "features"), "row", block_numbers)
-    asked, _ = _blocks(queries.select("query_id", "features"), "query_id", block_numbers)
-    kinds = queries.schema["query_id"].dataType, reference.schema["id"].dataType
+
+class _Plan:
+    """Pivots, and for each block of rows its cell, its distances from the pivot and its size: what bounds the search."""
+
+    def __init__(self, pivots: np.ndarray, rings: np.ndarray, scale: np.ndarray, per_block: int):
+        self.pivots, self.scale = pivots, scale
+        self.first, self.parts = np.zeros(rings.shape, np.int64), np.ones(rings.shape, np.int64)
+        count = 0
+        for cell, sizes in enumerate(rings):
+            held = 0
+            for ring, n in enumerate(sizes.tolist()):
+                if n and held and held + n > per_block:
+                    count, held = count + 1, 0
+                self.first[cell, ring] = count
+                if n > per_block:
+                    self.parts[cell, ring] = -(-n // per_block)
+                    count, held = count + int(self.parts[cell, ring]) - 1, per_block
+                held += n
+            count += 1
+        self.blocks = count
+
+    def ring(self, cell: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        return np.minimum(reach / self.scale[cell] * RINGS, RINGS - 1).astype(np.int64)
+
+    def bounded(self, stats: list) -> None:
+        """Take each block's `(block, cell, near, far, n)`."""
+        rows = sorted(stats, key=lambda r: r.block)
+        self.block, self.cell, self.n = (np.array([getattr(r, c) for r in rows], dtype=np.int64) for c in ("block", "cell", "n"))
+        self.near, self.far = (np.array([getattr(r, c) for r in rows], dtype=float) for c in ("near", "far"))
+
+    def least(self, points: np.ndarray) -> np.ndarray:
+        """A lower bound of the distance from each point to the rows of each block, by rings and by planes between pivots."""
+        to, home = _nearest_pivot(points, self.pivots)
+        between, _ = _nearest_pivot(self.pivots[home], self.pivots)
+        own = to[np.arange(len(to)), home][:, None]
+        plane = np.divide(to * to - own * own, 2 * between, out=np.zeros_like(to), where=between > 1e-9)
+        t = to[:, self.cell]
+        return np.maximum(np.maximum(t - self.far, self.near - t), np.maximum(plane[:, self.cell], 0)) - 1e-7 * (1 + t)
+
+    def home(self, points: np.ndarray, want: int) -> np.ndarray:
+        """Which blocks each point visits first: those of the lowest bound that hold as many rows as are wanted."""
+        least = self.least(points)
+        order = np.lexsort((np.broadcast_to(self.n, least.shape), least), axis=1)
+        before = np.cumsum(self.n[order], axis=1) - self.n[order]
+        first = np.zeros(least.shape, bool)
+        np.put_along_axis(first, order, before < want, axis=1)
+        return first
+
+
+def _planned(rows: DataFrame, n: int, d: int, per_block: int) -> tuple[DataFrame, _Plan]:
+    """`(block, cell, reach, ...)`: rows at their nearest pivot, cut by distance from it into blocks of bounded size."""
+    few = min(PIVOTS, max(1, -(-2 * n // per_block)))
+    drawn = rows.orderBy(F.xxhash64("row")).limit(few).select("features").collect()
+    pivots = np.unique(np.array([r.features for r in drawn], dtype=float).reshape(len(drawn), -1), axis=0)
+
+    @F.pandas_udf("cell int, reach double")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            points, step = np.stack(b.to_numpy()).astype(float), max(1, 4_000_000 // len(pivots))
+            cells, reach = [], []
+            for at in range(0, len(points), step):
+                _, cell = _nearest_pivot(points[at : at + step], pivots)
+                cells.append(cell)
+                reach.append(np.sqrt(((points[at : at + step] - pivots[cell]) ** 2).sum(axis=1)))
+            yield pd.DataFrame({"cell": np.concatenate(cells).astype(np.int32), "reach": np.concatenate(reach)})
+
+    placed = durable(rows.withColumn("at", nearest("features")).select("*", "at.cell", "at.reach").drop("at"))
+    scale = np.ones(len(pivots))
+    for r in placed.groupBy("cell").agg(F.max("reach").alias("far")).collect():
+        scale[r.cell] = max(r.far, 1e-300)
+    plan = _Plan(pivots, np.zeros((0, RINGS), np.int64), scale, per_block)
+
+    @F.pandas_udf("int")
+    def ring(cell: pd.Series, reach: pd.Series) -> pd.Series:
+        return pd.Series(plan.ring(cell.to_numpy(), reach.to_numpy())).astype("int32")
+
+    ringed = placed.withColumn("ring", ring("cell", "reach"))
+    sizes = np.zeros((len(pivots), RINGS), dtype=np.int64)
+    for r in ringed.groupBy("cell", "ring").agg(F.count("*").alias("n")).collect():
+        sizes[r.cell, r.ring] = r.n
+    plan = _Plan(pivots, sizes, scale, per_block)
+
+    @F.pandas_udf("long")
+    def block(cell: pd.Series, ring: pd.Series, salt: pd.Series) -> pd.Series:
+        at = cell.to_numpy(), ring.to_numpy()
+        return pd.Series(plan.first[at] + salt.to_numpy() % plan.parts[at])
+
+    salt = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1 << 30))
+    blocked = durable(ringed.withColumn("block", block("cell", "ring", salt)).drop("ring"))
+    plan.bounded(blocked.groupBy("block").agg(F.first("cell").alias("cell"), F.min("reach").alias("near"), F.max("reach").alias("far"), F.count("*").alias("n")).collect())
+    return blocked, plan
+
+
+def _visits(asked: DataFrame, plan: _Plan, want: int, later: bool) -> DataFrame:
+    """`(query_id, features, block)`: a query's first blocks or, with `limit` known, the others that can hold a row within it."""
+    names = ["query_id", "features", *["limit"] * later]
+    schema = T.StructType([asked.schema["query_id"], asked.schema["features"], T.StructField("block", T.LongType())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 2_000_000 // max(len(plan.block), len(plan.pivots)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                points = _matrix(some.column(1))
+                go = plan.home(points, want)
+                if later:
+                    limit = some.column(2).to_numpy(zero_copy_only=False).astype(float)
+                    limit = np.where(np.isnan(limit), np.inf, limit)
+                    go = ~go & (plan.least(points) <= np.sqrt(limit)[:, None] * (1 + 1e-9))
+                i, j = np.nonzero(go)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(i)), some.column(1).take(pa.array(i)), pa.array(plan.block[j])], names=schema.names)
+
+    return asked.select(*names).mapInArrow(deal, schema)
+
+
+def _met(visits: DataFrame, blocks: DataFrame, k: int, exclude_self: bool, kinds: tuple, chunks: int) -> DataFrame:
+    """`(query_id, neighbour_row, neighbour_id, distance)`: the k best rows of each visited block."""
     schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("neighbour_row", T.LongType()), T.StructField("neighbour_id", kinds[1]), T.StructField("distance", T.DoubleType())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ask, ref in zip(batch.column(0), batch.column(1)):
                 names, rows, ids = ask.values.field("query_id"), ref.values.field("row").to_numpy(), ref.values.field("id")
-                q, r = (x.values.field("features").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x.values), -1) for x in (ask, ref))
+                q, r = _matrix(ask.values.field("features")), _matrix(ref.values.field("features"))
                 squares = (r * r).sum(axis=1)
                 rough = (q * q).sum(axis=1)[:, None] + squares[None, :] - 2 * (q @ r.T)
                 if exclude_self:
@@ -64,10 +173,47 @@ def exact(reference: DataFrame, queries: DataFrame, k: int, exclude_self: bool =
                 first = np.arange(len(i)) - np.searchsorted(i, i) < k
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(i[first])), pa.array(rows[j[first]]), ids.take(pa.array(j[first])), pa.array(d[first])], names=schema.names)
 
-    met = asked.select(F.col("items").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(near.withColumn("block", F.col("block").cast("int")), "block")
-    found = met.select("asked", "items").mapInArrow(search, schema)
+    asked = visits.groupBy("block", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("query_id", "features")).alias("asked"))
+    return asked.join(blocks, "block").select("asked", "items").mapInArrow(search, schema)
+
+
+def exact_with_visits(reference: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block_numbers: int = BLOCK_NUMBERS) -> tuple[DataFrame, DataFrame]:
+    """`exact`, and one row `(n_queries, n_blocks, visits, share)`: how many of all pairs of a query and a block of rows met."""
+    rows = durable(reference.select(F.col("row").cast("long").alias("row"), "id", "features"))
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
+    asked = durable(queries.select("query_id", "features"))
+    kinds = queries.schema["query_id"].dataType, reference.schema["id"].dataType
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_row"))
-    return found.withColumn("place", rank).where(F.col("place") <= k)
+    if not size.n:
+        none = asked.select("query_id", F.lit(0).cast("long").alias("neighbour_row"), F.lit(None).cast(kinds[1]).alias("neighbour_id"), F.lit(0.0).alias("distance"), F.lit(1).alias("place")).limit(0)
+        return none, asked.agg(F.count("*").alias("n_queries"), F.lit(0).cast("long").alias("n_blocks"), F.lit(0).cast("long").alias("visits"), F.lit(0.0).alias("share"))
+    per_block = max(1, block_numbers // max(1, size.d or 1))
+    blocked, plan = _planned(rows, size.n, size.d or 1, per_block)
+    blocks = durable(blocked.groupBy("block").agg(F.collect_list(F.struct("row", "id", "features")).alias("items")))
+    chunks = max(1, -(-asked.count() // per_block))
+
+    first_visits = _visits(asked, plan, k + 1, False)
+    first = durable(_met(first_visits, blocks, k, exclude_self, kinds, chunks).withColumn("place", rank).where(F.col("place") <= k))
+    limits = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("limit"))
+    later_visits = durable(_visits(asked.join(limits, "query_id", "left"), plan, k + 1, True))
+    found = first.drop("place").unionByName(_met(later_visits, blocks, k, exclude_self, kinds, chunks)).withColumn("place", rank).where(F.col("place") <= k)
+    met = first_visits.select("block").unionByName(later_visits.select("block")).agg(F.count("*").alias("visits"))
+    visits = met.crossJoin(F.broadcast(asked.agg(F.count("*").alias("n_queries")))).withColumn("n_blocks", F.lit(len(plan.block)).cast("long"))
+    return found, visits.select("n_queries", "n_blocks", "visits", (F.col("visits") / (F.col("n_queries") * F.col("n_blocks"))).alias("share"))
+
+
+def exact(reference: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
+    """`(query_id, neighbour_row, neighbour_id, distance, place)`: the k nearest reference rows of each query.
+
+    Reference rows stand at the nearest of a bounded number of pivots, in blocks by their distance from it. A query first
+    visits the blocks that may be nearest, which bounds its k-th distance, then those that the triangle inequality and the
+    planes between pivots don't rule out. A task keeps the k best of a block for a block of queries by a matrix
+    product and exact distances of what comes near; a window merges them. Distance is squared Euclidean, summed in column
+    order; ties go to the lower row. `reference(row, id, features)`, `queries(query_id, features)`, features of one length
+    and without nulls; repeated queries are one. With `exclude_self`, a reference row of the query's id is no neighbour.
+    What reaches the driver: pivots, and sizes and distances by ring and by block.
+    """
+    return exact_with_visits(reference, queries, k, exclude_self, block_numbers)[0]
 
 
 def listed(neighbours: DataFrame) -> DataFrame:
@@ -115,30 +261,90 @@ def popular_neighbours(queries: DataFrame, popular: DataFrame, k: int) -> DataFr
     return rows.select("query_id", F.col("id").alias("neighbour_id"), rank.alias("place")).where(F.col("place") <= k)
 
 
-def lsh(reference: DataFrame, queries: DataFrame, k: int, within: float, bucket: float = 1.0, tables: int = 5, seed: int = 1, exclude_self: bool = False) -> DataFrame:
-    """Approximate neighbours of all queries in one join of hashed projections, up to the distance `within`."""
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed)
-    a = queries.select("query_id", array_to_vector("features").alias("v"))
-    b = reference.select("row", "id", array_to_vector("features").alias("v"))
-    fitted = model.fit(b)
-    pairs = fitted.approxSimilarityJoin(a, b, within, distCol="d").select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.row").alias("neighbour_row"), F.col("datasetB.id").alias("neighbour_id"), (F.col("d") * F.col("d")).alias("distance")
-    )
-    if exclude_self:
-        pairs = pairs.where(F.col("query_id") != F.col("neighbour_id"))
+def _offsets(margins: np.ndarray, probes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per point, changes of one or two of its bucket numbers in order of how little they cost: `(which, step)`, -1 for none.
+
+    `margins` holds the distances to the lower and the upper edge of each bucket, in widths."""
+    n, m = margins.shape[0], margins.shape[1] // 2
+    single = margins**2
+    pairs = [(i, j) for i in range(2 * m) for j in range(i + 1, 2 * m) if i % m != j % m]
+    cost = np.concatenate([np.zeros((n, 1)), single, *([single[:, [i for i, _ in pairs]] + single[:, [j for _, j in pairs]]] if pairs else [])], axis=1)
+    changes = np.array([(-1, -1), *((i, -1) for i in range(2 * m)), *pairs])
+    best = np.argsort(cost, axis=1, kind="stable")[:, : probes + 1]
+    return [(changes[best[:, t]] % m, np.where(changes[best[:, t]] < 0, 0, np.where(changes[best[:, t]] < m, -1, 1))) for t in range(best.shape[1])]
+
+
+class Hashes:
+    """Tables of `functions` random projections, cut into buckets of one width: points near each other often share one."""
+
+    def __init__(self, size: int, width: float, tables: int, functions: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.lines, self.shift = rng.normal(size=(size, tables * functions)) / width, rng.random(tables * functions)
+        self.weights = rng.integers(1, 1 << 62, size=(tables, functions + 1)) | 1
+        self.tables, self.functions = tables, functions
+
+    def keys(self, points: np.ndarray, probes: int = 0) -> np.ndarray:
+        """A signed 64-bit key for each point, table and probe; the point's own bucket comes first."""
+        at = points @ self.lines + self.shift
+        out = []
+        for t in range(self.tables):
+            own = at[:, t * self.functions : (t + 1) * self.functions]
+            low = np.floor(own).astype(np.int64)
+            inside = own - low
+            for which, step in _offsets(np.concatenate([inside, 1 - inside], axis=1), probes) if probes else [(None, None)]:
+                moved = low.copy()
+                for w, s in zip(which.T, step.T) if probes else ():
+                    moved[np.arange(len(moved)), w] += s
+                with np.errstate(over="ignore"):
+                    out.append((moved * self.weights[t, :-1]).sum(axis=1) + self.weights[t, -1])
+        return np.stack(out, axis=1)
+
+
+def lsh(
+    reference: DataFrame, queries: DataFrame, k: int, width: float, tables: int = 8, functions: int = 4, probes: int = 8, seed: int = 1, exclude_self: bool = False, block_numbers: int = BLOCK_NUMBERS
+) -> tuple[DataFrame, DataFrame]:
+    """Neighbours by hash tables, in the form of `exact`, and one row of counts `(n_queries, n_pairs, candidates, share, searched_whole)`.
+
+    A query looks into its own bucket of each table and into the `probes` nearest others. A bucket is met in blocks of bounded
+    size, each of which gives a query its k best only, so a bucket of many rows needs no cap. A query that finds fewer than
+    k rows is answered by `exact`. `candidates` counts the distances that were computed, `share` their part of all pairs.
+    """
+    rows = durable(reference.select(F.col("row").cast("long").alias("row"), "id", "features"))
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
+    asked = durable(queries.select("query_id", "features"))
+    kinds = queries.schema["query_id"].dataType, reference.schema["id"].dataType
+    per_block = max(1, block_numbers // max(1, size.d or 1))
+    hashes = Hashes(size.d or 1, width, tables, functions, seed)
+
+    def keyed(points: DataFrame, probes: int) -> DataFrame:
+        @F.pandas_udf("array<long>")
+        def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for b in batches:
+                yield pd.Series(list(hashes.keys(np.stack(b.to_numpy()).astype(float), probes)) if len(b) else [])
+
+        return points.withColumn("key", F.explode(F.array_distinct(keys("features"))))
+
+    placed = keyed(rows, 0)
+    sizes = durable(placed.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.count("*") / per_block).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("row"), F.col("parts"))
+    blocks = placed.join(sizes, "key").groupBy(F.xxhash64("key", part.cast("int")).alias("block")).agg(F.collect_list(F.struct("row", "id", "features")).alias("items"))
+    opened = durable(keyed(asked, probes).join(sizes, "key").select("query_id", "features", "n", "key", "parts"))
+    visits = opened.select("query_id", "features", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("query_id", "features", F.xxhash64("key", "part").alias("block"))
+    chunks = max(1, -(-asked.count() // per_block))
+    met = _met(visits, blocks, k, exclude_self, kinds, chunks).dropDuplicates(["query_id", "neighbour_row"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_row"))
-    return pairs.withColumn("place", rank).where(F.col("place") <= k)
+    found = durable(met.withColumn("place", rank).where(F.col("place") <= k))
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = durable(asked.join(enough, "query_id", "left_anti"))
+    whole = exact(rows, short, k, exclude_self, block_numbers)
+    out = found.join(enough.select("query_id"), "query_id", "left_semi").unionByName(whole.select(*found.columns))
+    n_queries = asked.agg(F.count("*").alias("n_queries"))
+    counts = opened.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("candidates")).crossJoin(F.broadcast(n_queries)).crossJoin(F.broadcast(short.agg(F.count("*").alias("searched_whole"))))
+    counts = counts.withColumn("n_pairs", F.col("n_queries") * size.n).withColumn("share", F.col("candidates") / F.greatest(F.col("n_pairs"), F.lit(1)))
+    return out, counts.select("n_queries", "n_pairs", "candidates", "share", "searched_whole")
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Share of the true neighbours that a search found."""
     hit = truth.join(found.select("query_id", "neighbour_id").withColumn("hit", F.lit(1)), ["query_id", "neighbour_id"], "left")
     return hit.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.count("*").alias("pairs"))
-
-
-def exact_sql_form(reference: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The same neighbours by a join of all pairs, for small tables in tests."""
-    pairs = queries.select("query_id", F.col("features").alias("q")).crossJoin(reference.select("row", "features"))
-    d = pairs.select("query_id", F.col("row").alias("neighbour_row"), S.squared_distance("q", "features").alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_row"))
-    return d.withColumn("place", rank).where(F.col("place") <= k)

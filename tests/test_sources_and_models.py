@@ -1,6 +1,5 @@
 """Files, bundles, neighbours, clusters and records."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,14 +56,7 @@ def points(spark, rows):
     return spark.createDataFrame([(i, i, [float(x) for x in p]) for i, p in enumerate(rows)], "row long, id long, features array<double>")
 
 
-def test_exact_neighbours_in_blocks_and_ties(spark):
-    rng = np.random.default_rng(2)
-    ref, ask = points(spark, rng.integers(0, 4, (200, 3))), points(spark, rng.integers(0, 4, (40, 3))).select(F.col("id").alias("query_id"), "features")
-    key = lambda df: sorted((r.query_id, r.neighbour_row, r.place, r.distance) for r in df.collect())
-    plain = key(neighbours.exact_sql_form(ref, ask, 7))
-    assert key(neighbours.exact(ref, ask, 7)) == plain
-    assert key(neighbours.exact(ref, ask, 7, block_numbers=100)) == plain
-    assert neighbours.exact(ref.limit(0), ask, 3).count() == 0
+def test_votes_of_neighbours(spark):
     six = points(spark, [[1.0]] * 6)
     found = neighbours.exact(six, spark.createDataFrame([(9, [1.0])], "query_id long, features array<double>"), 3)
     assert [r.neighbour_row for r in found.orderBy("place").collect()] == [0, 1, 2]
