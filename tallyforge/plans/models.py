@@ -127,23 +127,30 @@ def nearest_center(spark, folder):
     return found.select(F.col("id").alias("vec_id"), "cluster", F.round(F.array_min("distances"), 6).alias("distance"))
 
 
-_NEAR = f"""pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, b.label, a.label AS own, {_DISTANCE.format('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')} AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+def _near(every):
+    """All pairs of a query and another vector, in order of distance."""
+    return f"""pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, b.label, a.label AS own, {_DISTANCE.format('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')} AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbour_id) AS place FROM pairs)"""
 
 
-def all_neighbours(spark, folder, k):
+_NEAR = _near(100)
+
+
+def near_vectors(spark, folder, k, every=100):
+    """The k nearest vectors of every hundredth one, among all."""
     rows = vectors(spark, folder)
-    return neighbours.exact(rows, rows.select(F.col("id").alias("query_id"), "features"), k, exclude_self=True)
+    return neighbours.exact(rows, rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "features"), k, exclude_self=True)
 
 
-@query(f"WITH {_NEAR} SELECT query_id, neighbour_id, CAST(place AS INTEGER) AS place, round(d, 6) AS distance FROM near WHERE place <= 10")
+@query(f"WITH {_NEAR} SELECT query_id, neighbour_id, CAST(place AS INTEGER) AS place, round(d, 6) AS distance FROM near WHERE place <= 20")
 def nearest_vectors(spark, folder):
-    return all_neighbours(spark, folder, 10).select("query_id", "neighbour_id", "place", F.round("distance", 6).alias("distance"))
+    return near_vectors(spark, folder, 20).select("query_id", "neighbour_id", "place", F.round("distance", 6).alias("distance"))
 
 
-@query(f"WITH {_NEAR} SELECT query_id, list(neighbour_id ORDER BY place)[1] AS first_id, count(*) AS n FROM near WHERE place <= 10 GROUP BY query_id")
+@query(f"WITH {_near(1)} SELECT query_id, list(neighbour_id ORDER BY place)[1] AS first_id, count(*) AS n FROM near WHERE place <= 10 GROUP BY query_id")
 def neighbour_lists(spark, folder):
-    found = neighbours.listed(all_neighbours(spark, folder, 10))
+    """The precomputed neighbours of every vector."""
+    found = neighbours.listed(near_vectors(spark, folder, 10, every=1))
     return found.select("query_id", F.col("neighbours")[0]["id"].alias("first_id"), F.size("neighbours").cast("long").alias("n"))
 
 
@@ -152,7 +159,7 @@ _VOTES = f"{_NEAR}, votes AS (SELECT query_id, max(CASE WHEN own < 3 THEN 1 ELSE
 
 def votes(spark, folder):
     truth = vectors(spark, folder).select(F.col("row").alias("neighbour_row"), (F.col("label") < 3).cast("int").alias("label"))
-    found = neighbours.vote_share(all_neighbours(spark, folder, 15), truth, 15, 0.4)
+    found = neighbours.vote_share(near_vectors(spark, folder, 15), truth, 15, 0.4)
     return found.join(truth.withColumnRenamed("neighbour_row", "query_id"), "query_id")
 
 
@@ -177,7 +184,7 @@ best AS (SELECT * FROM (SELECT k, score AS threshold, round(2 * tp / (tp + fp +
 def knn_sweep(spark, folder):
     """The best threshold of several K from one neighbour search, the chosen one first."""
     truth = vectors(spark, folder).select(F.col("row").alias("neighbour_row"), (F.col("label") < 3).cast("int").alias("label"))
-    scored = neighbours.vote_sweep(all_neighbours(spark, folder, 15), truth, (3, 5, 9, 15)).withColumn("score", F.round("score", 9))
+    scored = neighbours.vote_sweep(near_vectors(spark, folder, 15), truth, (3, 5, 9, 15)).withColumn("score", F.round("score", 9))
     labelled = scored.join(truth.withColumnRenamed("neighbour_row", "query_id"), "query_id")
     table_ = evaluate.best_threshold(labelled, "k")
     chosen = evaluate.choose_k(table_).select("k", F.lit(True).alias("chosen"))
@@ -187,7 +194,7 @@ def knn_sweep(spark, folder):
 @query(f"WITH {_NEAR}, ks AS (SELECT unnest([5, 10, 20]) AS k), each AS (SELECT k, query_id, avg(CASE WHEN label = own THEN 1.0::DOUBLE ELSE 0 END) AS s FROM near JOIN ks ON place <= k GROUP BY k, query_id) SELECT k, round(avg(s), 6) AS agreement, count(*) AS queries FROM each GROUP BY k")
 def label_agreement(spark, folder):
     codes = vectors(spark, folder).select("id", F.col("label").alias("code"))
-    return neighbours.agreement(all_neighbours(spark, folder, 20), codes).withColumn("agreement", F.round("agreement", 6))
+    return neighbours.agreement(near_vectors(spark, folder, 20), codes).withColumn("agreement", F.round("agreement", 6))
 
 
 _DRAWN = "('0x' || substr(sha256('3:' || query_id || ':' || place), 1, 12))::BIGINT % (SELECT count(*) FROM embeddings)"
@@ -213,10 +220,19 @@ def agreement_baselines(spark, folder):
 
 @query()
 def lsh_recall(spark, folder):
-    rows = vectors(spark, folder)
-    asked = rows.select(F.col("id").alias("query_id"), "features")
-    found = neighbours.lsh(rows, asked, 10, within=1.6, bucket=2.0, exclude_self=True)
-    return neighbours.recall(found, all_neighbours(spark, folder, 10))
+    """Recall of a hash search for every hundredth product's neighbours in the features, and how many distances it computed."""
+    rows = durable(numbered(_scaled(spark, folder).select("item", vector_to_array("z").alias("features")), "item").select("row", F.col("row").alias("id"), "features"))
+    asked = rows.where("row % 100 = 0").select(F.col("id").alias("query_id"), "features")
+    found, counts = neighbours.lsh(rows, asked, 10, width=2.0, tables=6, functions=4, probes=6, exclude_self=True)
+    return neighbours.recall(found, neighbours.exact(rows, asked, 10, exclude_self=True)).crossJoin(F.broadcast(counts))
+
+
+@query()
+def search_visits(spark, folder):
+    """How many pairs of a query and a block of rows an exact search of the product features met."""
+    rows = durable(numbered(_scaled(spark, folder).select("item", vector_to_array("z").alias("features")), "item").select("row", F.col("row").alias("id"), "features"))
+    asked = rows.where("row % 100 = 0").select(F.col("id").alias("query_id"), "features")
+    return neighbours.exact_with_visits(rows, asked, 20, True, block_numbers=64 * len(S.FEATURES))[1]
 
 
 @query(with_sql("SELECT product_id, views FROM (SELECT product_id, count(*) FILTER (event_type = 'view') AS views FROM curated GROUP BY product_id) ORDER BY views DESC, product_id LIMIT 21"))
