@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 from tallyforge.functions.numbering import numbered
+from tallyforge.sources.digests import file_digests, manifest_digest
 
 from .classify import FIELDS, MAX_LINE_BYTES, classify_purchases
 
@@ -58,21 +59,14 @@ def dictionary_checksum(words: DataFrame, key: str = "group_key", max_keys: int
 
 
 def input_manifest(spark: SparkSession, *paths: str) -> DataFrame:
-    """`(uri, bytes, sha256)` of every input file; files are hashed where they are read, so each must be under 2 GB.
-
-    For larger files, `fingerprint` takes the lines instead.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    return files.select(F.col("path").alias("uri"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """`(uri, bytes, sha256)` of every input file below the paths, of any size; names of `_` or `.` are no input."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return file_digests(spark, *paths).where(~F.substring(name, 1, 1).isin("_", ".")).select(F.col("path").alias("uri"), "bytes", "sha256")
 
 
-def manifest_fingerprint(manifest: DataFrame, max_files: int = 100_000) -> DataFrame:
-    """One row: files, bytes and a digest of the manifest in order of uri; more than `max_files` files raise."""
-    if manifest.limit(max_files + 1).count() > max_files:
-        raise ValueError(f"the manifest has more than {max_files} files")
-    rows = F.sort_array(F.collect_list(F.struct("uri", "bytes", "sha256")))
-    text = F.array_join(F.transform(rows, lambda x: F.concat_ws("\t", x["uri"], x["bytes"].cast("string"), x["sha256"])), "\n")
-    return manifest.agg(F.count("*").alias("n_files"), F.sum("bytes").alias("n_bytes"), F.sha2(text, 256).alias("fingerprint"))
+def manifest_fingerprint(manifest: DataFrame) -> DataFrame:
+    """One row `(n_files, n_bytes, fingerprint)`: a digest of the manifest in order of uri, of any number of files."""
+    return manifest_digest(manifest)
 
 
 def policy_hash(mode: str) -> str:

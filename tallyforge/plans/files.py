@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.functions.tables import new_folder
-from tallyforge.operators import catalog, classify, metrics, quality, revenue
+from tallyforge.functions.numbering import numbered
+from tallyforge.functions.tables import durable, new_folder
+from tallyforge.operators import catalog, classify, clusters, features, metrics, neighbours, quality, registry, revenue
 from tallyforge.sources import readers, writers
 
 from .base import query
-from .behaviour import LINES_SQL, curated, lines, with_sql
-from .learning import _BOTH, labels
+from .behaviour import KEYS, LINES_SQL, MIN_VIEWS, curated, lines, with_sql
+from .learning import _BOTH, _FEATURES, _stats, labels
 from .metrics import COUNTERS, RATIOS
 from .money import REVENUE, keyed
 
 
+PRODUCTS = f"products AS (SELECT *, {_FEATURES} FROM ({_stats('curated', 'product_id, user_id')}) WHERE views >= {MIN_VIEWS})"
+
+
 def written_lines(spark, folder):
     """The event lines as text files, a folder a file name, read back from disk."""
     where = new_folder(spark, "lines")
@@ -125,7 +131,80 @@ def published_run(spark, folder):
     path = writers.publish(spark, new_folder(spark, "serving"), "r1", writers.serving_tables(events, revenue.revenue(events)))
     listed = spark.read.parquet(f"{path}/_manifest_table")
     held = readers.verified_files(spark, path, listed).select("path", "matches")
-    return listed.join(held, "path").select("name", F.col("rows").alias("n_rows"), "matches")
+    return listed.join(held, "path").where("rows is not null").groupBy("name").agg(F.max("rows").alias("n_rows"), F.bool_and("matches").alias("matches"))
+
+
+def model_runs(spark, folder):
+    """A K-Means run of the K that the sweep chooses and a neighbour run, written with their tables; and the labelled rows."""
+    rows = durable(features.with_features(features.product_stats(curated(spark, folder), KEYS), MIN_VIEWS).withColumn("item", F.concat_ws("/", *KEYS)))
+    scaling = clusters.scaler(rows)
+    scaled = scaling.transform(rows)
+    summary = durable(clusters.sweep_summary(clusters.sweep(scaled.select("item", "z").cache(), (2, 3, 4), (1, 2))))
+    k = clusters.choose(summary).first().k
+    model = clusters.fit(scaled, k, 1)
+    assigned = model.transform(scaled)
+    kmeans = {
+        "assignments": assigned.select("item", "cluster"),
+        "profile": clusters.profile(assigned, ("views", "carts", "purchases")),
+        "sweep": summary,
+        "centers": clusters.centers(model, spark),
+        "scaling": clusters.scaler_parameters(rows),
+    }
+    root = new_folder(spark, "models")
+    paths = {"kmeans": writers.write_model(spark, root, "a-kmeans", "kmeans", {"scaler": scaling, "kmeans": model}, kmeans, k=k)}
+    known = durable(labels(spark, folder).withColumn("item", F.concat_ws("/", *KEYS)))
+    train = durable(numbered(known.where("split = 'train'"), *KEYS))
+    parameters = clusters.scaler_parameters(train)
+    saved = {r.feature: (r.mean, r.std) for r in parameters.collect()}
+    asked = registry.standardize(known.where("split = 'test'"), saved, "item").withColumnRenamed("item", "query_id")
+    near = neighbours.exact(registry.standardize(train, saved, "row").join(train.select("row", F.col("item").alias("id")), "row"), asked, 15)
+    predictions = neighbours.vote_share(near, train.select(F.col("row").alias("neighbour_row"), "label"), 15, 0.4)
+    paths["knn"] = writers.write_model(spark, root, "b-knn", "knn", {}, {"train_set": train.select("row", "item", "label", *S.FEATURES), "scaling": parameters, "predictions": predictions}, k=15, threshold=0.4)
+    return paths, known.where("split = 'test'").select("item", "label", *[c for c in ("views", "carts", "purchases", "median_price", "distinct_users", "recent_views") if c in known.columns], *S.FEATURES)
+
+
+def published(spark, folder):
+    paths, tested = model_runs(spark, folder)
+    events = curated(spark, folder)
+    root = new_folder(spark, "serving")
+    return root, writers.publish(spark, root, "r1", {"revenue": revenue.revenue(events).orderBy("group_key")}, paths, tested)
+
+
+@query(
+    with_sql(
+        """SELECT name, CAST(n AS BIGINT) AS n_rows, true AS matches FROM (SELECT 'revenue' AS name, count(DISTINCT category_id) FILTER (event_type = 'purchase') AS n FROM curated
+UNION ALL SELECT 'ml/kmeans/assignments', count(*) FROM products UNION ALL SELECT 'ml/kmeans/sweep', 3 UNION ALL SELECT 'ml/kmeans/scaling', (SELECT count(*) FROM (SELECT unnest("""
+        + str(list(S.FEATURES))
+        + """)))
+UNION ALL SELECT 'ml/knn/train_set', count(*) FROM train_snapshot UNION ALL SELECT 'ml/knn/products', count(*) FROM test_snapshot
+UNION ALL SELECT 'ml/knn/predictions', count(*) FROM test_snapshot
+UNION ALL SELECT 'all files', 0)""",
+        *_BOTH,
+        PRODUCTS,
+    )
+)
+def published_models(spark, folder):
+    """Tables and two model runs published as one; rows of the tables, and how many files of the manifest have changed."""
+    root, path = published(spark, folder)
+    if readers.latest_run(spark, root) != "r1":
+        raise ValueError("the published run is not the latest one")
+    listed = durable(spark.read.parquet(f"{path}/_manifest_table"))
+    held = durable(readers.verified_files(spark, path, listed))
+    own = listed.join(held.select("path", "matches"), "path").where("rows is not null and name not in ('ml/kmeans/profile', 'ml/kmeans/centers', 'ml/knn/scaling')")
+    tables = own.groupBy("name").agg(F.max("rows").alias("n_rows"), F.bool_and("matches").alias("matches"))
+    return tables.unionByName(held.agg(F.lit("all files").alias("name"), F.count_if(~F.col("matches")).alias("n_rows"), F.bool_and("matches").alias("matches")))
+
+
+@query(with_sql("SELECT CAST(0 AS BIGINT) AS differing, count(*) AS n_rows FROM products", PRODUCTS))
+def kmeans_replay(spark, folder):
+    """The saved scaler and K-Means models of a published run, loaded and applied again: rows whose cluster is another one."""
+    _, path = published(spark, folder)
+    rows = features.with_features(features.product_stats(curated(spark, folder), KEYS), MIN_VIEWS).withColumn("item", F.concat_ws("/", *KEYS))
+    scaling, model = PipelineModel.load(f"{path}/ml/kmeans/model_scaler"), KMeansModel.load(f"{path}/ml/kmeans/model_kmeans")
+    again = model.transform(scaling.transform(rows)).select("item", F.col("cluster").cast("double").alias("cluster"))
+    saved = spark.read.option("header", True).csv(f"{path}/ml/kmeans/assignments").select("item", F.col("cluster").cast("double").alias("cluster"))
+    wrong = registry.replay(saved, again, "item", ("cluster",))
+    return wrong.agg(F.count("*").alias("differing")).crossJoin(saved.agg(F.count("*").alias("n_rows")))
 
 
 @query(with_sql("SELECT event_type, CAST(sum(price_minor) AS BIGINT) AS minor FROM curated GROUP BY event_type"))

@@ -14,9 +14,10 @@ from tallyforge.sources import writers
 
 from .base import query
 from .behaviour import KEYS, MIN_VIEWS, curated, table, with_sql
-from .learning import _BOTH, _FEATURES, _stats, labels
+from .files import PRODUCTS
+from .learning import _BOTH, labels
 
-_PRODUCTS = f"products AS (SELECT *, {_FEATURES} FROM ({_stats('curated', 'product_id, user_id')}) WHERE views >= {MIN_VIEWS})"
+_PRODUCTS = PRODUCTS
 
 
 def products(spark, folder):

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 
+from .commits import pointed
+from .digests import file_digests
+
 
 def event_lines(spark: SparkSession, *paths: str, glob: str = "*.csv") -> DataFrame:
     """`(value, file, place)`: physical lines of the files below the paths that match `glob`; a trailing CR stays.
@@ -41,6 +44,9 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def latest_run(spark: SparkSession, root: str) -> str | None:
+    """The newest run by the root's pointer; a root without one is looked through."""
+    if run := pointed(spark, root):
+        return run
     row = runs(spark, root).first()
     return row.run_id if row else None
 
@@ -59,9 +65,9 @@ def repeated_groups(results: DataFrame) -> DataFrame:
 
 
 def verified_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """`(path, bytes, sha256, matches)`: the manifest's files as they are now; a lost file doesn't match."""
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    now = there.select(F.col("path").alias("_p"), F.col("length").alias("_b"), F.sha2("content", 256).alias("_s"))
+    """`(path, bytes, sha256, matches)`: the manifest's files as they are now below the folder; a lost or changed file doesn't match."""
+    below = F.regexp_extract("path", f"/{folder.rstrip('/').rsplit('/', 1)[-1]}/(.*)$", 1)
+    now = file_digests(spark, folder).select(below.alias("_p"), F.col("bytes").alias("_b"), F.col("sha256").alias("_s"))
     joined = manifest.join(now, manifest.path == F.col("_p"), "left")
     return joined.select("path", "bytes", "sha256", F.coalesce((F.col("_s") == F.col("sha256")) & (F.col("_b") == F.col("bytes")), F.lit(False)).alias("matches"))
 

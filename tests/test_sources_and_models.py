@@ -33,7 +33,7 @@ def test_publish_and_verify(spark, tmp_path):
     table = spark.createDataFrame([("a", 1, None), ("b", 2, "x")], "k string, n int, t string")
     path = writers.publish(spark, root, "2", {"one": table, "two": table.limit(1)})
     listed = spark.read.parquet(f"{path}/_manifest_table")
-    assert {(r.name, r.rows) for r in listed.collect()} == {("one", 2), ("two", 1)}
+    assert {(r.name, r.rows) for r in listed.where("rows is not null").collect()} == {("one", 2), ("two", 1)}
     assert readers.verified_files(spark, path, listed).where("not matches").count() == 0
     assert readers.verified_files(spark, path, listed.withColumn("sha256", F.lit("0"))).where("matches").count() == 0
     with pytest.raises(FileExistsError):
