@@ -33,7 +33,7 @@ def preflight(lines: DataFrame, mode: str = "category_id", file_col: str = "file
 
 
 def first_errors(lines: DataFrame, order: str, n: int = 20, line_col: str = "value") -> DataFrame:
-    """The first malformed lines by `order`."""
+    """The first malformed lines by `order`; for lines of files see `sources.lines.first_errors`."""
     bad = classify_purchases(lines, "category_id", line_col).where("reason = 'MALFORMED_CSV'")
     return bad.orderBy(order).limit(n).select(order, line_col)
 

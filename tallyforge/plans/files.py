@@ -10,6 +10,7 @@ from tallyforge.functions import scalars as S
 from tallyforge.functions.numbering import numbered
 from tallyforge.functions.tables import durable, new_folder
 from tallyforge.operators import catalog, classify, clusters, features, metrics, neighbours, quality, registry, revenue
+from tallyforge.sources import lines as physical
 from tallyforge.sources import readers, writers
 
 from .base import query
@@ -24,10 +25,7 @@ PRODUCTS = f"products AS (SELECT *, {_FEATURES} FROM ({_stats('curated', 'produc
 
 def written_lines(spark, folder):
     """The event lines as text files, a folder a file name, read back from disk."""
-    where = new_folder(spark, "lines")
-    rows = lines(spark, folder).repartition(3, "file").sortWithinPartitions("file", "event_id")
-    rows.select("file", "value").write.partitionBy("file").text(where)
-    read = readers.event_lines(spark, *[f"{where}/file=f{k}" for k in range(3)], glob="part-*")
+    read = readers.event_lines(spark, *_written(spark, folder), glob="part-*")
     return read.withColumn("file", F.regexp_extract("file", "file=(f[0-9])", 1))
 
 
@@ -42,6 +40,51 @@ def preflight_of_files(spark, folder):
     return catalog.preflight(written_lines(spark, folder))
 
 
+#: The text of each written line, its number and the bytes before it; a mark of three bytes and the header come first.
+TEXT_SQL = f"""
+texts AS (
+  SELECT event_id, file, reason, concat_ws(',', CASE WHEN event_id % 73 = 0 THEN 'yesterday' ELSE strftime(event_time, '%Y-%m-%d %H:%M:%S') || ' UTC' END, event_type,
+    CASE WHEN event_id % 79 = 0 THEN '' ELSE product_id END, CASE WHEN event_id % 71 = 0 THEN '' ELSE category_id END, coalesce(category_code, ''),
+    CASE WHEN event_id % 67 = 0 THEN '"open' WHEN event_id % 5 = 0 THEN '"a ""b"", ' || coalesce(brand, '') || '"' ELSE coalesce(brand, '') END,
+    printf('%d.%02d', price_minor // 100, price_minor % 100) || CASE WHEN event_id % 83 = 0 THEN '5' ELSE '' END, user_id,
+    CASE WHEN event_id % 97 = 0 THEN NULL ELSE user_session END, CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN 'extra' END)
+    || CASE WHEN event_id % 7 = 0 THEN chr(13) ELSE '' END AS value FROM reasons),
+located AS (
+  SELECT *, 1 + row_number() OVER (PARTITION BY file ORDER BY event_id) AS line,
+    {len(classify.HEADER) + 4} + CAST(coalesce(sum(strlen(value) + 1) OVER (PARTITION BY file ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM texts)
+"""
+
+
+def _written(spark, folder):
+    where = new_folder(spark, "lines")
+    lines(spark, folder).repartition(3, "file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(where)
+    return [f"{where}/file=f{k}" for k in range(3)]
+
+
+@query(with_sql("""SELECT file, line, "offset", reason AS error, value FROM located WHERE reason = 'MALFORMED_CSV' ORDER BY file, line LIMIT 20""", LINES_SQL.strip(), TEXT_SQL.strip()))
+def first_errors_of_files(spark, folder):
+    """The first twenty errors of the written files, by line number and byte offset."""
+    found = physical.first_errors(physical.physical_lines(spark, *_written(spark, folder), glob="part-*"))
+    return found.withColumn("file", F.regexp_extract("file", "file=(f[0-9])", 1))
+
+
+_OFFSET_HEAD = """('0x' || substr(sha256(encode(file) || '\\x00'::BLOB || unhex('000000000000002A') || unhex(lpad(to_hex("offset"), 16, '0'))), 1, 8))::BIGINT"""
+
+
+@query(
+    with_sql(
+        f"""SELECT file, line, "offset", value FROM (SELECT *, {_OFFSET_HEAD} AS head FROM located)
+WHERE (((CASE WHEN head >= 2147483648 THEN head - 4294967296 ELSE head END) % 1000000) + 1000000) % 1000000 < 100000""",
+        LINES_SQL.strip(),
+        TEXT_SQL.strip(),
+    )
+)
+def sampled_lines(spark, folder):
+    """A tenth of the written lines by the digest of file, seed and byte offset."""
+    located = physical.located_lines(spark, *_written(spark, folder), glob="part-*")
+    return physical.sample_lines(located.withColumn("file", F.regexp_extract("file", "file=(f[0-9])", 1)), 0.1, 42).select("file", "line", "offset", "value")
+
+
 @query(with_sql(REVENUE, LINES_SQL.strip(), "keyed AS (SELECT category_id AS group_key, price_minor FROM reasons WHERE reason = 'VALID_PURCHASE')"))
 def revenue_from_files(spark, folder):
     return revenue.revenue_from_lines(written_lines(spark, folder))

@@ -9,6 +9,7 @@ from tallyforge.functions import scalars as S
 
 from .commits import pointed
 from .digests import file_digests
+from .lines import physical_lines
 
 
 def event_lines(spark: SparkSession, *paths: str, glob: str = "*.csv") -> DataFrame:
@@ -17,16 +18,8 @@ def event_lines(spark: SparkSession, *paths: str, glob: str = "*.csv") -> DataFr
     `place` orders the lines of a file. No file, or a file that two paths name or hold, is an error.
     """
 
-    def below(*some: str) -> DataFrame:
-        return spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(list(some))
-
-    files = [f for path in paths for f in below(path).inputFiles()]
-    if not files:
-        raise FileNotFoundError(f"no {glob} file below {', '.join(paths)}")
-    if len(set(files)) != len(files):
-        raise ValueError("a file is named twice")
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    return below(*paths).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    lines = physical_lines(spark, *paths, glob=glob)
+    return lines.select("value", "file", F.struct("block", "at").alias("place"))
 
 
 def run_table(spark: SparkSession, root: str, run_id: str, required: tuple[str, ...] = ()) -> DataFrame:
