@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 from tallyforge.functions.numbering import running_sums
+from tallyforge.functions.tables import durable
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -131,11 +137,87 @@ def bootstrap_difference(predictions: DataFrame, other: str, replicates: int = 1
     return weighted(predictions, replicates, seed).groupBy("b").agg(gap.alias("difference"))
 
 
+class _Totals:
+    """What a part of the scores holds: weights of positives and of all rows for each replicate, and those positives that share its last score."""
+
+    def __init__(self, part: int, replicates: int):
+        self.part, self.first, self.last = part, None, None
+        self.pos, self.neg, self.tail = (np.zeros(replicates) for _ in range(3))
+
+    def add(self, score: float, pos: np.ndarray, neg: np.ndarray) -> None:
+        self.first = score if self.first is None else self.first
+        self.tail = self.tail + pos if self.last == score else pos
+        self.last, self.pos, self.neg = score, self.pos + pos, self.neg + neg
+
+
+def _score_groups(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+    """(part, score, weights of positives, of negatives) of rows in order; a score comes again where a batch ends within it."""
+    for b in batches:
+        part, score, label = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        weight = b.column(3).flatten().to_numpy().reshape(len(part), replicates).astype(float)
+        starts = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(score, prepend=np.nan) != 0))
+        pos = np.add.reduceat(weight * label[:, None], starts, axis=0) if len(part) else weight
+        every = np.add.reduceat(weight, starts, axis=0) if len(part) else weight
+        for at, p, w in zip(starts, pos, every):
+            yield int(part[at]), float(score[at]), p, w - p
+
+
 def bootstrap_average_precision(scored: DataFrame, replicates: int = 1000, seed: int = 7) -> DataFrame:
-    """`(b, average_precision)` of each replicate of `scored(i, label, score)`."""
-    w = F.col("weight")
-    each = weighted(scored, replicates, seed).groupBy("b", "score").agg(F.sum(w * F.col("label")).alias("pos"), F.sum(w * (1 - F.col("label"))).alias("neg"))
-    return _precision(_curve(each, "b"), "b")
+    """`(b, average_precision)` of each replicate of `scored(i, label, score)`; a null score counts as the lowest.
+
+    Rows are dealt once into ranges of scores and carry no copies: a row's weights for all replicates are an array made where
+    it is used. One pass adds up each range, the driver takes the sums of the ranges before each (three numbers a range
+    and replicate), and a second pass goes down each range with all replicates at once. A score that several ranges
+    share counts where it ends.
+    """
+    rows = scored.select("i", F.col("label").cast("double").alias("label"), F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))).alias("score"))
+    parts = durable(rows.repartitionByRange(F.desc("score"), "i").withColumn("part", F.spark_partition_id()))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: S.digest_uniform(F.lit(seed), b, F.col("i")))
+    ordered = parts.repartition("part").sortWithinPartitions("part", F.desc("score"))
+    weighted_rows = ordered.select("part", "score", "label", F.transform(drawn, S.poisson_one).alias("w"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[_Totals] = []
+        for part, score, pos, neg in _score_groups(batches, replicates):
+            if not done or done[-1].part != part:
+                done.append(_Totals(part, replicates))
+            done[-1].add(score, pos, neg)
+        for t in done:
+            yield pa.RecordBatch.from_arrays([pa.array([t.part], pa.int32()), *(pa.array([x]) for x in (t.first, t.last)), *(pa.array([x], pa.list_(pa.float64())) for x in (t.pos, t.neg, t.tail))], names=["part", "first", "last", "pos", "neg", "tail"])
+
+    totals = sorted(weighted_rows.mapInArrow(add_up, "part int, first double, last double, pos array<double>, neg array<double>, tail array<double>").collect(), key=lambda r: r.part)
+    tp, fp, carry, before = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates), {}
+    for at, r in enumerate(totals):
+        carry = carry if at and totals[at - 1].last == r.first else np.zeros(replicates)
+        before[r.part] = tp, fp, carry, totals[at + 1].first if at + 1 < len(totals) else None
+        carry = np.array(r.tail) + (carry if r.first == r.last else 0)
+        tp, fp = tp + r.pos, fp + r.neg
+    shared = scored.sparkSession.sparkContext.broadcast(before)
+
+    def go_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain, part, score, following = np.zeros(replicates), None, None, None
+        tp = fp = own = np.zeros(replicates)
+
+        def end_of_score() -> None:
+            if part is not None and score != following:
+                gain[:] += np.divide(own * tp, tp + fp, out=np.zeros(replicates), where=tp + fp > 0)
+
+        for p, s, pos, neg in _score_groups(batches, replicates):
+            if p != part:
+                end_of_score()
+                part, score = p, s
+                tp, fp, own, following = shared.value[p]
+            elif s != score:
+                end_of_score()
+                score, own = s, np.zeros(replicates)
+            tp, fp, own = tp + pos, fp + neg, own + pos
+        end_of_score()
+        yield pa.RecordBatch.from_arrays([pa.array([gain], pa.list_(pa.float64()))], names=["gain"])
+
+    gains = weighted_rows.mapInArrow(go_down, "gain array<double>").select(F.posexplode("gain").alias("b", "gain")).groupBy("b").agg(F.sum("gain").alias("gain"))
+    whole = scored.sparkSession.createDataFrame([(b, float(p), float(p + n)) for b, (p, n) in enumerate(zip(tp, fp))], "b int, all_pos double, rows double")
+    found = gains.join(F.broadcast(whole), "b").where("rows > 0")
+    return found.select("b", F.coalesce(_share(F.col("gain"), F.col("all_pos")), F.lit(0.0)).alias("average_precision"))
 
 
 def bootstrap_mean(values: DataFrame, replicates: int = 1000, seed: int = 7) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
+from tallyforge.functions.numbering import numbered
+from tallyforge.functions.tables import durable
 
 KINDS = {"views": "view", "carts": "cart", "removes": "remove_from_cart", "purchases": "purchase"}
 
@@ -36,8 +38,30 @@ def trend_by_hour(events: DataFrame) -> DataFrame:
     return events.groupBy("event_date", "event_hour").agg(*counters(), F.count_distinct("user_id").alias("distinct_users"))
 
 
+def hourly_sets(events: DataFrame) -> DataFrame:
+    """`(event_date, event_hour, bucket, users, counters)`: what hours hold, in a form that any roll-up can be made from.
+
+    Events are read once and added up by hour and user. Users get dense numbers, and each hour keeps its users as bits in
+    buckets of 32,768 numbers, so that sets of hours merge exactly. Null users are counted as events, not as users.
+    """
+    by_user = durable(events.groupBy("event_date", "event_hour", "user_id").agg(*counters()))
+    users = durable(numbered(by_user.select("user_id").where("user_id is not null").distinct(), "user_id", name="number"))
+    marked = by_user.join(users.withColumn("number", F.col("number") + 1), "user_id", "left")
+    bucket = F.coalesce(F.bitmap_bucket_number("number"), F.lit(0).cast("long")).alias("bucket")
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("users")
+    return durable(marked.groupBy("event_date", "event_hour", bucket).agg(bits, *[F.sum(c).alias(c) for c in by_user.columns[3:]]))
+
+
+def rolled_up(sets: DataFrame, *keys: str) -> DataFrame:
+    """Counters and exact distinct users by `keys`, from the sets of hours alone."""
+    added = [c for c in sets.columns if c not in ("event_date", "event_hour", "bucket", "users")]
+    merged = sets.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("users").alias("users"), *[F.sum(c).alias(c) for c in added])
+    return merged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in added], F.sum(F.bitmap_count("users")).alias("distinct_users"))
+
+
 def trend_by_day(events: DataFrame) -> DataFrame:
-    return events.groupBy("event_date").agg(*counters(), F.count_distinct("user_id").alias("distinct_users"))
+    """Days rolled up from hours, distinct users included."""
+    return rolled_up(hourly_sets(events), "event_date")
 
 
 def totals_check(events: DataFrame, funnel: DataFrame, revenues: DataFrame) -> DataFrame:
