@@ -2,7 +2,8 @@
 
 A fingerprint of 64 bits is cut into two segments of 32. If two fingerprints differ in at most three bits, one
 of their segments differs in at most one, so both have a signature in common: the segment itself, or the
-segment with that one bit left out. Signatures are indexed, joined for equality and verified.
+segment with that one bit left out. Signatures are indexed, joined for equality and verified. Classes need no more links
+than join them, so fingerprints of a signature that many share are compared block by block and linked as stars.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from .components import connected_components
 from .shared import durable, utf8
 
 BITS, HALF, REACH, WORDS = 64, 32, 3, 3
+#: Fingerprints of one signature that are paired at once, and of a block that meets another one.
+FEW, BLOCK = 8, 2048
 
 
 def fingerprint_of(text: bytes) -> int:
@@ -47,22 +51,70 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp") -> D
     return docs.withColumn(name, _fingerprints(utf8(F.col(text_col))))
 
 
-def near_pairs(distinct: DataFrame, fp: str = "fp") -> DataFrame:
-    """All pairs `(a, b)` of different fingerprints that differ in at most three bits, from a table of distinct ones.
-
-    A signature that leaves out bit i meets only across the two values of that bit, and a whole segment meets
-    only itself, so a pair comes up at most once a segment. The join carries nothing but signature and
-    fingerprint, and its condition verifies the distance before a row leaves it.
-    """
+def _signatures(distinct: DataFrame, fp: str) -> DataFrame:
+    """`(fp, slot, part, whole, side)`: each segment of each fingerprint, whole and with each bit left out; `side` is that bit."""
     slots = distinct.select(F.col(fp).alias("fp"), F.explode(F.sequence(F.lit(0), F.lit(2 * HALF + 1))).alias("slot"))
     halves = slots.selectExpr("fp", "slot", f"slot % {HALF + 1} as bit", f"if(slot <= {HALF}, fp & 4294967295L, shiftrightunsigned(fp, {HALF})) as half")
-    parts = halves.selectExpr("fp", "slot", f"bit = {HALF} as whole", f"if(bit = {HALF}, half, half & ~shiftleft(1L, bit)) as part", "shiftrightunsigned(half, bit) & 1 as side")
+    return halves.selectExpr("fp", "slot", f"bit = {HALF} as whole", f"if(bit = {HALF}, half, half & ~shiftleft(1L, bit)) as part", "shiftrightunsigned(half, bit) & 1 as side")
+
+
+def _pairs(parts: DataFrame) -> DataFrame:
+    """Pairs `(a, b)` of near fingerprints with a signature in common.
+
+    A signature that leaves out a bit meets only across that bit's two values, and a whole segment meets only itself, so
+    a pair comes up at most once a segment. The join's condition verifies the distance before a row leaves it.
+    """
     left = parts.where("whole or side = 0").select(F.col("fp").alias("a"), "slot", "part", "whole")
     right = parts.where("whole or side = 1").select(F.col("fp").alias("b"), "slot", "part")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH
     return left.join(right, ["slot", "part"]).where(near & (~F.col("whole") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
+def near_pairs(distinct: DataFrame, fp: str = "fp") -> DataFrame:
+    """All pairs `(a, b)` of different fingerprints that differ in at most three bits, from a table of distinct ones."""
+    return _pairs(_signatures(distinct, fp))
+
+
+def _stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(center, member): what near pairs between two blocks join, each component as a star about its smallest fingerprint."""
+    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    near = np.bitwise_count(left.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :]) <= REACH
+    label, own, other = np.arange(len(names)), at[: len(left)], at[len(left) :]
+    for i in range(len(left)):
+        found = np.append(label[other[near[i]]], label[own[i]])
+        low = found.min()
+        if (found != low).any():
+            label[np.isin(label, found)] = low
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[label[moved]], names[moved]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for left, right in zip(batch.column(0), batch.column(1)):
+            a, b = _stars(left.values.to_numpy(), right.values.to_numpy())
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def near_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
+    """Links `(a, b)` that join the same fingerprints as all near pairs do, but number a few a fingerprint.
+
+    Fingerprints that share a signature with a few others are paired. Where many share one, they are dealt into blocks of
+    bounded size, each two blocks meet in one task, and what their near pairs join comes out as stars.
+    """
+    parts = _signatures(distinct, fp)
+    counts = durable(parts.groupBy("slot", "part").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = durable(parts.join(counts, ["slot", "part"]))
+    few = _pairs(shared.where(F.col("n") <= FEW))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = shared.where(F.col("n") > FEW).select("slot", "part", blocks.alias("blocks"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    groups = durable(dealt.groupBy("slot", "part", "blocks", "block").agg(F.collect_list("fp").alias("fps")))
+    left = groups.select("slot", "part", F.col("fps").alias("left"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("block"))
+    met = left.join(groups.select("slot", "part", "block", F.col("fps").alias("right")), ["slot", "part", "block"]).select("left", "right")
+    return durable(few.unionByName(met.mapInArrow(_met, "a long, b long")).distinct())
+
+
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, fp, h) of every row, written once: h tells apart rows that share an id."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -72,7 +124,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _classes(marked: DataFrame) -> DataFrame:
     """(fp, root, component_id) of every fingerprint."""
     known = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(near_pairs(known.select("fp")))
+    roots = connected_components(near_links(known.select("fp")))
     linked = known.join(roots, known.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return linked.select("fp", "root").join(smallest, "root")

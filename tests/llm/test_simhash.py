@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pytest
 import xxhash
 
 from tallyforge.llm import simhash
@@ -80,3 +82,46 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicate_classes(df).collect() == []
     assert simhash.keep_one_of_each(df).collect() == []
+
+
+@pytest.mark.parametrize("few,block", [(8, 2048), (2, 50)])
+def test_many_near_fingerprints_get_a_few_links_each(spark, monkeypatch, few, block):
+    """Thousands of fingerprints around a few others, chains among them: the classes of all pairs from a few links a member."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd = random.Random(11)
+    fps = set()
+    for count in (3000 if few == 8 else 300, 200, 40, 5):
+        center = rnd.getrandbits(64)
+        for k in range(count):
+            fps.add(center ^ sum(1 << b for b in rnd.sample(range(64), rnd.choice([1, 2, 3, 5] if k % 9 else [6, 8]))))
+    chain = rnd.getrandbits(64)
+    for _ in range(60):
+        chain ^= sum(1 << b for b in rnd.sample(range(64), 3))
+        fps.add(chain)
+    signed = np.array([f - 2**64 if f >= 2**63 else f for f in fps])
+    links = simhash.near_links(spark.createDataFrame([(int(f),) for f in signed], "fp long"))
+    assert links.count() <= 12 * len(fps)
+    near = np.bitwise_count(signed.view(np.uint64)[:, None] ^ signed.view(np.uint64)[None, :]) <= 3
+    label = np.arange(len(signed))
+    while True:
+        low = np.array([label[row].min() for row in near])
+        if (low == label).all():
+            break
+        label = low
+    want = {}
+    for f, x in zip(signed.tolist(), label.tolist()):
+        want.setdefault(x, set()).add(f)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in links.collect():
+        root[find(r.a)] = find(r.b)
+    got = {}
+    for f in signed.tolist():
+        got.setdefault(find(f), set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
