@@ -157,6 +157,12 @@ def _stretch(words: np.ndarray, owner: np.ndarray, starts: np.ndarray, before: i
     return np.where((near == spots) & (owner[near] == owner[starts][:, None]), words[near], _END)
 
 
+def _around(size: int, similarity: float) -> tuple[int, int]:
+    """Words before and after a window's start in which an item of that size may stand."""
+    slack = edits_allowed(size, similarity)
+    return _plan(window_of(size))[0] + slack, size + slack
+
+
 class ItemIndex:
     """Items by their keys in every table: sorted keys, the item of each, and a bit set of the keys' low bits."""
 
@@ -194,10 +200,9 @@ class ItemIndex:
             names, starts = both // len(words), both % len(words)
             for part in np.split(np.arange(len(both)), np.flatnonzero(np.diff(names)) + 1) if len(both) else ():
                 item = self.items[names[part[0]]]
-                slack = edits_allowed(len(item), self.similarity)
                 for at in range(0, len(part), 4096):
                     rows = starts[part[at : at + 4096]]
-                    edits = verified(item, _stretch(words, owner, rows, _plan(window_of(len(item)))[0] + slack, len(item) + slack), self.similarity)
+                    edits = verified(item, _stretch(words, owner, rows, *_around(len(item), self.similarity)), self.similarity)
                     for k in np.flatnonzero(edits >= 0).tolist():
                         spot = int(owner[rows[k]]), int(names[part[0]])
                         found[spot] = min(int(edits[k]), found.get(spot, len(item)))
@@ -269,7 +274,11 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            edits = [int(verified(_words_of(w), _words_of(n)[None, :])[0]) for n, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            edits = []
+            for n, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                item, window = _words_of(w), window_of(len(w) // 8)
+                before, after = _around(len(item), SIMILARITY)
+                edits.append(int(verified(item, _words_of(n)[None, max(0, window - before) : window + after])[0]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(edits, pa.int32())], names=["row", "number", "edits"])
 
     met = docs.mapInArrow(colliding, "row long, key long, near binary").join(index, "key").select("row", "number", "near").distinct()

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import utf8
+from .shared import durable, utf8
 
 BUCKET_BITS, ORDERS = 15, 4
 BUCKETS = 1 << BUCKET_BITS
@@ -125,18 +125,18 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     """Fit on a bounded sample of `training`: of each language the rows with the smallest hashes of their texts.
 
     The sample has `sample_rows` rows at most (ROWS_PER_LANGUAGE a language), each sent to the driver as a bit
-    row of 4 KB. Rows with a null or letterless text or a null language are not used; repeated texts count once.
+    row of 4 KB; of more languages than that, those of the most texts are learned. Rows with a null or letterless text or a null language are not used; repeated texts count once.
     """
     rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("sample"), text_col).alias("h"))
-    hashes = rows.select("lang", "h").distinct()
-    few = _smallest(_smallest(hashes, ROWS_PER_LANGUAGE, "lang", F.pmod("h", F.lit(DEALT))), ROWS_PER_LANGUAGE, "lang")
-    picked: dict[str, list[int]] = {}
-    for r in few.collect():
-        picked.setdefault(r.lang, []).append(r.h)
-    if not picked:
+    hashes = durable(rows.select("lang", "h").distinct())
+    known = hashes.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).select("lang").collect()
+    if not known:
         return fit_ridge([], np.empty((0, BUCKETS // 8), np.uint8))
-    each = max(1, sample_rows // len(picked))
-    cuts = F.create_map(*[F.lit(x) for lang, hs in sorted(picked.items()) for x in (lang, sorted(hs)[: each][-1])])
+    each = min(ROWS_PER_LANGUAGE, sample_rows // len(known))
+    mine = hashes.where(F.col("lang").isin([r.lang for r in known]))
+    few = _smallest(_smallest(mine, each, "lang", F.pmod("h", F.lit(DEALT))), each, "lang")
+    last = few.groupBy("lang").agg(F.max("h").alias("h")).orderBy("lang").collect()
+    cuts = F.create_map(*[F.lit(x) for r in last for x in (r.lang, r.h)])
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -135,7 +135,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     component_id is the smallest non-null id among all rows whose fingerprints the row's fingerprint reaches
     over links of at most three bits. Null or blank texts share fingerprint zero and are linked like any other.
-    Repeated rows are all returned, a null id keeps its row, and an empty table gives an empty result.
+    Repeated rows are all returned, a null id keeps its row, and an empty table gives an empty result. Texts of any
+    length are taken whole; other columns don't matter, whatever their names.
     """
     marked = _marked(docs, id_col, text_col)
     return marked.join(_classes(marked), "fp").select("doc_id", "fp", "component_id")
@@ -154,8 +155,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def rows_of(docs: DataFrame, best: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of `docs` that `best(w)` names by id and text hash, each once."""
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    """The rows of `docs` that `best(w)` names by id and text hash, each once; no id is taken for a null one."""
+    key = lambda c: F.when(c.isNull(), "").otherwise(F.concat(F.lit("="), c.cast("string")))
     winners = best.select(key(F.col("w.doc_id")).alias("_tf_id"), F.col("w.h").alias("_tf_h"))
     keyed = docs.withColumns({"_tf_id": key(F.col(id_col)), "_tf_h": F.xxhash64(F.col(text_col))})
     kept = keyed.join(winners, ["_tf_id", "_tf_h"], "left_semi")
