@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,14 @@ _paths: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; where that is unset, a folder of the warehouse, which is shared too."""
+    """`spark.checkpoint.dir` of the session. Only where driver and executors are one process may it be unset: then the warehouse serves."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return known or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+    if known:
+        return known
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -54,6 +61,17 @@ def forget(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Remove the intermediate tables that the block makes when it ends: its results must be written or collected within it."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in set(_written) - before:
+            remove(_written[path], path)
+
+
 @atexit.register
 def forget_all() -> None:
     """Remove all intermediate tables of this program; results that still read them can't be computed afterwards."""

@@ -262,6 +262,24 @@ def raw_scores(spark, folder):
     return registry.score_raw(raw, parameters, clusters.centers(model, spark), 2, "item").select("item", "cluster", "warnings", "out_of_domain")
 
 
+@query(
+    with_sql(
+        f"""SELECT item, concat_ws(',', CASE WHEN views < 2 THEN 'views_below_minimum' END, CASE WHEN carts > views THEN 'carts_above_views' END, CASE WHEN purchases > views THEN 'purchases_above_views' END) AS warnings,
+  views < 2 OR carts > views OR purchases > views AS out_of_domain, round(CASE WHEN s > 0 THEN (ln(1 + views) - m) * (1.0::DOUBLE / s) ELSE 0 END, 9) AS z_log_views
+FROM (SELECT product_id || '/' || user_id AS item, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'cart') AS carts, count(*) FILTER (event_type = 'purchase') AS purchases FROM curated GROUP BY product_id, user_id) raw,
+(SELECT avg(ln(1 + views)) AS m, stddev_samp(ln(1 + views)) AS s FROM products) WHERE views > 0""",
+        _PRODUCTS,
+    )
+)
+def scoring_warnings(spark, folder):
+    """The rules that raw counts break, whether they are out of domain, and a feature standardized with saved parameters."""
+    saved = {r.feature: (r.mean, r.std) for r in clusters.scaler_parameters(products(spark, folder), ("log_views",)).collect()}
+    raw = features.product_stats(curated(spark, folder), KEYS).where("views > 0").withColumns({"recent_views": F.col("views"), "item": F.concat_ws("/", *KEYS)})
+    marked = raw.withColumns(S.feature_columns()).withColumn("warnings", S.domain_warnings(2))
+    z = F.round(S.standardized("log_views", *saved["log_views"]), 9)
+    return marked.select("item", F.array_join("warnings", ",").alias("warnings"), (F.size("warnings") > 0).alias("out_of_domain"), z.alias("z_log_views"))
+
+
 @query()
 def logistic_reference(spark, folder):
     """Test metrics of logistic regression, fitted on the fit part, at the threshold of the best F1 among 201 quantiles of the validation scores."""
