@@ -97,22 +97,77 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _few(slot: np.ndarray, fp: np.ndarray, bucket: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs of small buckets. A signature that leaves out a bit counts across that bit's two values only, a whole segment always."""
+    bit = slot % (HALF + 1)
+    half = np.where(slot <= HALF, fp & 0xFFFFFFFF, (fp >> HALF) & 0xFFFFFFFF)
+    side = (half >> np.minimum(bit, HALF - 1)) & 1
+    out = []
+    for lag in range(1, FEW):
+        i = np.flatnonzero((bucket[lag:] == bucket[:-lag]) & (size[lag:] <= FEW))
+        i = i[((bit[i] == HALF) | (side[i] != side[i + lag])) & (np.bitwise_count(fp[i].view(np.uint64) ^ fp[i + lag].view(np.uint64)) <= REACH)]
+        out.append((fp[i], fp[i + lag]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("slot", pa.int32()), ("part", pa.int64()), ("block", pa.int32()), ("fps", pa.list_(pa.int64()))])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows `(slot, part, fp)` in order: links of the buckets, and the blocks of buckets that are larger than one."""
+
+    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), f.type) for f in list(_FOUND)[2:])], schema=_FOUND)
+
+    def blocks(slot: int, part: int, number: int, fps: np.ndarray) -> pa.RecordBatch:
+        cuts = [fps[at : at + BLOCK] for at in range(0, len(fps), BLOCK)]
+        values = [None] * len(cuts), [None] * len(cuts), [slot] * len(cuts), [part] * len(cuts), range(number, number + len(cuts)), cuts
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _FOUND)], schema=_FOUND)
+
+    def whole(slot: np.ndarray, part: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero((np.diff(slot, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+        sizes = np.diff(np.append(starts, len(fp)))
+        yield links(*_few(slot, fp, np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes)))
+        for at, size in zip(starts[sizes > FEW], sizes[sizes > FEW]):
+            own = fp[at : at + size]
+            yield links(*_stars(own, own)) if size <= 2 * BLOCK else blocks(int(slot[at]), int(part[at]), 0, own)
+
+    held, number = [np.empty(0, np.int64)] * 3, 0
+    for b in batches:
+        rows = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, b.columns)]
+        if not len(rows[0]):
+            continue
+        same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+        last = len(same) - int(same.sum())
+        if last and number:  # the bucket whose first blocks were given out ends in these rows
+            end = int(((rows[0] == rows[0][0]) & (rows[1] == rows[1][0])).sum())
+            yield blocks(int(rows[0][0]), int(rows[1][0]), number, rows[2][:end])
+            rows, last, number = [r[end:] for r in rows], last - end, 0
+        if last:
+            yield from whole(*(r[:last] for r in rows))
+        held = [r[last:] for r in rows]
+        while len(held[0]) >= 2 * BLOCK:
+            yield blocks(int(held[0][0]), int(held[1][0]), number, held[2][:BLOCK])
+            held, number = [h[BLOCK:] for h in held], number + 1
+    if number:
+        yield blocks(int(held[0][0]), int(held[1][0]), number, held[2])
+    elif len(held[0]):
+        yield from whole(*held)
+
+
 def near_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """Links `(a, b)` that join the same fingerprints as all near pairs do, but number a few a fingerprint.
 
-    Fingerprints that share a signature with a few others are paired. Where many share one, they are dealt into blocks of
-    bounded size, each two blocks meet in one task, and what their near pairs join comes out as stars.
+    Signatures are sorted, so that those of a bucket follow each other: a few are paired, more are joined as stars, and a
+    bucket larger than two blocks is given out in blocks, each two of which meet in another task.
     """
-    parts = _signatures(distinct, fp)
-    counts = durable(parts.groupBy("slot", "part").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = durable(parts.join(counts, ["slot", "part"]))
-    few = _pairs(shared.where(F.col("n") <= FEW))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = shared.where(F.col("n") > FEW).select("slot", "part", blocks.alias("blocks"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    groups = durable(dealt.groupBy("slot", "part", "blocks", "block").agg(F.collect_list("fp").alias("fps")))
-    left = groups.select("slot", "part", F.col("fps").alias("left"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("block"))
-    met = left.join(groups.select("slot", "part", "block", F.col("fps").alias("right")), ["slot", "part", "block"]).select("left", "right")
-    return durable(few.unionByName(met.mapInArrow(_met, "a long, b long")).distinct())
+    rows = _signatures(distinct, fp).select("slot", "part", "fp").repartition("slot", "part").sortWithinPartitions("slot", "part", "fp")
+    found = durable(rows.mapInArrow(_scan, "a long, b long, slot int, part long, block int, fps array<long>"))
+    blocks = found.where("fps is not null").select("slot", "part", "block", "fps")
+    number = blocks.groupBy("slot", "part").agg(F.max("block").alias("last"))
+    left = blocks.join(number, ["slot", "part"]).select("slot", "part", F.col("fps").alias("left"), F.explode(F.expr("sequence(block, last)")).alias("block"))
+    met = left.join(blocks.withColumnRenamed("fps", "right"), ["slot", "part", "block"]).select("left", "right")
+    return durable(found.where("a is not null").select("a", "b").unionByName(met.mapInArrow(_met, "a long, b long")).distinct())
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -125,3 +126,52 @@ def test_many_near_fingerprints_get_a_few_links_each(spark, monkeypatch, few, bl
     for f in signed.tolist():
         got.setdefault(find(f), set()).add(f)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_buckets_over_batches_and_blocks(monkeypatch):
+    """Buckets of all sizes cut by batches of rows: links and pairs of blocks join what a bucket's near pairs join."""
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    rng = np.random.default_rng(6)
+    rows = []
+    for part, size in enumerate([1, 300, 2, 1, 7, 8, 9, 40, 41, 1, 55, 3, 120, 1]):
+        low = rng.integers(0, 1 << 30)
+        high = rng.integers(0, 1 << 31)
+        for f in sorted({int(low | ((high ^ sum(1 << int(b) for b in rng.choice(31, rng.integers(0, 6), replace=False))) << 32)) for _ in range(size)}):
+            rows.append((simhash.HALF, part, f))
+    table = pa.table({"slot": pa.array([r[0] for r in rows], pa.int32()), "part": [r[1] for r in rows], "fp": [r[2] for r in rows]})
+    for batch in (1, 7, 64, 1000):
+        joined, blocks = {}, {}
+
+        def find(x):
+            while joined.setdefault(x, x) != x:
+                x = joined[x]
+            return x
+
+        def link(a, b):
+            for x, y in zip(a.tolist(), b.tolist()):
+                joined[find(x)] = find(y)
+
+        for out in simhash._scan(iter(table.to_batches(max_chunksize=batch))):
+            for r in out.to_pylist():
+                if r["a"] is not None:
+                    joined[find(r["a"])] = find(r["b"])
+                else:
+                    blocks.setdefault(r["part"], {})[r["block"]] = np.array(r["fps"])
+        sizes = {p: sum(r[1] == p for r in rows) for p in range(14)}
+        assert {p for p in sizes if sizes[p] > 40} <= set(blocks) <= {p for p in sizes if sizes[p] >= 40}
+        for own in blocks.values():
+            assert sorted(own) == list(range(len(own))) and max(map(len, own.values())) <= 20
+            for i in own:
+                for j in own:
+                    if i <= j:
+                        link(*simhash._stars(own[i], own[j]))
+        got = {frozenset(x for _, p, x in rows if find(x) == f and p == part) for _, part, f in rows}
+        want = set()
+        for part in range(14):
+            own = np.array([r[2] for r in rows if r[1] == part])
+            near = np.bitwise_count(own[:, None].view(np.uint64) ^ own[None, :].view(np.uint64)) <= 3
+            label = np.arange(len(own))
+            while (low := np.array([label[n].min() for n in near])).tolist() != label.tolist():
+                label = low
+            want |= {frozenset(own[label == k].tolist()) for k in set(label.tolist())}
+        assert {g for g in got if g} == want
