@@ -29,7 +29,7 @@ BUDGET = 1_000_000
 #: Prefix cells of the first scan, and bits of the set of frequent words; both are fixed.
 CELLS, SLOTS = 1 << 14, 1 << 25
 #: Bytes of text that a task takes at a time; a longer text is cut between pieces.
-PORTION = 16 << 20
+PORTION = 8 << 20
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _kinds = np.zeros(256, dtype=np.uint8)
