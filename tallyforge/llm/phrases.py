@@ -29,7 +29,7 @@ BUDGET = 1_000_000
 #: Prefix cells of the first scan, and bits of the set of frequent words; both are fixed.
 CELLS, SLOTS = 1 << 14, 1 << 25
 #: Bytes of text that a task takes at a time; a longer text is cut between pieces.
-PORTION = 8 << 20
+PORTION = 16 << 20
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _kinds = np.zeros(256, dtype=np.uint8)
@@ -69,16 +69,17 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
 
 
 def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of each word its number in the dictionary and its piece, and the dictionary; A-Z count as a-z."""
+    """Of each word its number in the dictionary and whether it goes on with the piece of the word before, and the dictionary; A-Z count as a-z."""
     data = np.frombuffer(text, dtype=np.uint8)
     kinds = _kinds[data]
     inside = kinds == 0
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
-    np.cumsum(ends - starts, out=offsets[1:])
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_lower[data[inside]])]).dictionary_encode()
-    return words.indices.to_numpy().astype(np.int64), np.searchsorted(np.flatnonzero(kinds == 2), starts), words.dictionary
+    offsets = np.zeros(len(edges) // 2 + 1, dtype=np.int64)
+    np.cumsum(edges[1::2] - edges[::2], out=offsets[1:])
+    piece = np.searchsorted(np.flatnonzero(kinds == 2), edges[::2]).astype(np.int32)
+    del kinds, edges
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(_lower[data[inside]])]).dictionary_encode()
+    return words.indices.to_numpy(), np.diff(piece, prepend=-1) == 0, words.dictionary
 
 
 def _hashes(lang: str, words: pa.Array) -> np.ndarray:
@@ -97,11 +98,11 @@ def _scanned(texts: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in _portions(batches):
-            ids, pieces, words = tokens(text)
+            ids, goes_on, words = tokens(text)
             if not len(ids):
                 continue
-            pairs = np.flatnonzero(pieces[1:] == pieces[:-1])
-            sizes = np.bincount(_cells(_hashes(lang, words), ids[pairs], ids[pairs + 1]), minlength=CELLS)
+            pairs = np.flatnonzero(goes_on)
+            sizes = np.bincount(_cells(_hashes(lang, words), ids[pairs - 1], ids[pairs]), minlength=CELLS)
             used = np.flatnonzero(sizes)
             k, m = len(words), len(used)
             named = pa.array([lang], pa.string()).take(pa.array(np.zeros(k + m, np.int64)))
@@ -129,27 +130,35 @@ def groups_of(sizes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, i
 
 
 def _leaves(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """The different suffixes in order, and how often each occurs (or the sum of its counts)."""
+    """The different suffixes in order, and how often each occurs (or the sum of its counts). Takes the columns out of their list."""
     bits = max(1, int(max((c.max(initial=0) for c in columns), default=0)).bit_length())
     if 4 * bits > 64:
-        heads, at = np.unique(columns[0] << np.int64(32) | columns[1], return_inverse=True)
-        tails, to = np.unique(columns[2] << np.int64(32) | columns[3], return_inverse=True)
-        pair = np.unique(at << np.int64(32) | to, return_counts=True) if counts is None else _summed(at << np.int64(32) | to, counts)
-        head, tail = heads[pair[0] >> 32], tails[pair[0] & 0xFFFFFFFF]
-        return [head >> 32, head & 0xFFFFFFFF, tail >> 32, tail & 0xFFFFFFFF], pair[1]
-    key = np.zeros(len(columns[0]), dtype=np.uint64)
-    for c in columns:
-        key = key << np.uint64(bits) | c.astype(np.uint64)
-    keys, n = np.unique(key, return_counts=True) if counts is None else _summed(key, counts)
+        first, second, third, fourth = (c.astype(np.int64) for c in columns)
+        heads, at = np.unique(first << 32 | second, return_inverse=True)
+        tails, to = np.unique(third << 32 | fourth, return_inverse=True)
+        keys, n = _summed(at << np.int64(32) | to, counts)
+        head, tail = heads[keys >> 32], tails[keys & 0xFFFFFFFF]
+        return [head >> 32, head & 0xFFFFFFFF, tail >> 32, tail & 0xFFFFFFFF], n
+    key = columns.pop(0).astype(np.uint64)
+    while columns:
+        key <<= np.uint64(bits)
+        key |= columns.pop(0).astype(np.uint64)
+    keys, n = _summed(key, counts)
     mask = np.uint64((1 << bits) - 1)
     return [(keys >> np.uint64(bits * (DEPTH - 1 - i)) & mask).astype(np.int64) for i in range(DEPTH)], n
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order with the sums of their counts, or their numbers."""
+    if counts is None:
+        keys.sort()
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
     starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ keys.dtype.type(1))) if len(keys) else np.empty(0, np.int64)
-    return keys[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
+    if counts is None:
+        return keys[starts], np.diff(np.append(starts, len(keys)))
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts[:0]
 
 
 def _packed(**columns: pa.Array) -> bytes:
@@ -172,22 +181,26 @@ def _sent(texts: DataFrame, frequent: np.ndarray, first: np.ndarray, parts: np.n
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first, parts = shared.value
         for lang, text in _portions(batches):
-            ids, pieces, words = tokens(text)
+            ids, goes_on, words = tokens(text)
             hashes = _hashes(lang, words)
             slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
             kept = np.flatnonzero(known[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-            number = np.zeros(len(words) + 1, dtype=np.int64)
+            number = np.zeros(len(words) + 1, dtype=np.int32)
             number[kept] = np.arange(1, len(kept) + 1)
             ids = number[ids]
-            columns = [ids]
-            for k in range(1, DEPTH):
-                nxt = np.zeros(len(ids), dtype=np.int64)
-                nxt[:-k] = np.where((pieces[k:] == pieces[:-k]) & (columns[-1][:-k] > 0), ids[k:], 0)
-                columns.append(nxt)
-            begins = (columns[0] > 0) & (columns[1] > 0)
-            if not begins.any():
+            begins = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & goes_on[1:])
+            if not len(begins):
                 continue
-            columns, n = _leaves([c[begins] for c in columns])
+            columns, open_, at = [ids[begins]], np.ones(len(begins), dtype=bool), begins
+            for _ in range(1, DEPTH):
+                at = at + 1
+                open_ &= at < len(ids)
+                spot = np.minimum(at, len(ids) - 1)
+                open_ &= goes_on[spot]
+                columns.append(np.where(open_, ids[spot], 0))
+                open_ &= columns[-1] > 0
+            del ids, goes_on, begins, open_, at, spot
+            columns, n = _leaves(columns)
             hashes = np.concatenate([np.zeros(1, np.uint64), hashes[kept]])
             cell = _cells(hashes, columns[0], columns[1])
             more = mix(hashes[columns[2]] * np.uint64(0x100000001B3) + hashes[columns[3]]) >> np.uint64(16)
