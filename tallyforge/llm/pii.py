@@ -6,6 +6,9 @@ without recursion whatever the text's length, and each may start only where an e
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,9 @@ PATTERNS = {
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32})(?![A-Za-z0-9])|-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----",
     "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+",
 }
-#: What a text must hold before its pattern is tried.
-NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+#: What each match holds: one of these strings, and a digit if the kind is numeric. A text without is not searched.
+NEEDS = {"email": ["@"], "ip": ["."], "phone": ["+"], "ssn": ["-"], "key": ["AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "-----BEGIN "]}
+NUMERIC = ("ip", "card", "phone", "iban", "ssn", "secret")
 #: Kinds that count as secrets.
 SECRETS = ("key", "secret")
 BASE = ("email", "ip", "card", "phone")
@@ -80,6 +84,14 @@ def _confirmed(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _worth(kind: str, text: Column) -> Column:
+    """Whether a text may hold a span of the kind: what a match needs, context if no score is enough without it, and then the pattern."""
+    tests = [reduce(or_, (F.contains(text, F.lit(n)) for n in NEEDS[kind]))] if kind in NEEDS else []
+    if kind not in BASE and SCORES[kind] < ACCEPT:
+        tests.append(F.lower(text).rlike(CONTEXT[kind]))
+    return reduce(and_, [*tests, text.rlike(PATTERNS[kind])])
+
+
 def _spans(kind: str, text: Column) -> Column:
     """Confirmed spans of one kind, in order: array of (kind, start, end, score), in code points.
 
@@ -127,10 +139,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", prefix: str = "pii_") -> D
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
     columns = {}
     for kind in PATTERNS:
-        found = _spans(kind, text)
-        may = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
-        worth = may & text.rlike(PATTERNS[kind])
-        columns[prefix + kind] = F.when(worth, found).otherwise(none)
+        found = F.when(_worth(kind, text), _spans(kind, text)).otherwise(none)
+        columns[prefix + kind] = F.when(text.rlike("[0-9]"), found).otherwise(none) if kind in NUMERIC else found
     return docs.withColumns(columns)
 
 
