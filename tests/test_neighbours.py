@@ -1,5 +1,7 @@
 """Exact and hashed neighbour searches against a join of all pairs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -102,3 +104,23 @@ def test_probes_come_in_order_of_cost():
     hashes = neighbours.Hashes(2, 1.0, 3, 2, 1)
     keys = hashes.keys(np.array([[0.2, 0.4]]), 4)
     assert keys.shape == (1, 15) and len(set(keys[0].tolist())) == 15 and (hashes.keys(np.array([[0.2, 0.4]])) == keys[:, ::5]).all()
+
+
+def test_memory_of_a_block_of_many_queries_and_many_rows_is_bounded(spark):
+    rng = np.random.default_rng(4)
+    q, r = rng.normal(size=(4000, 7)), rng.normal(size=(4000, 7))
+    r[5:9] = q[3]
+    rows, same = np.arange(4000)[::-1].copy(), np.arange(4000)
+    tracemalloc.start()
+    found = list(neighbours._nearest(q, r, rows, 5, (same, same)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20  # all distances at once are 128 MB
+    i, j, d = (np.concatenate(x) for x in zip(*found))
+    assert len(i) == 20_000 and (i != j).all() and j[i == 3][:4].tolist() == [8, 7, 6, 5] and (d[i == 3][:4] == 0).all()
+
+
+def test_a_point_that_visits_many_blocks_is_dealt_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "HELD", 40)
+    ref = points(spark, np.random.default_rng(6).normal(size=(300, 4)))
+    assert key(neighbours.exact(ref, asked(ref), 4, True, 24)) == key(all_pairs(ref, asked(ref), 4, True))
