@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.functions import scalars as S
 from tallyforge.functions import tables
 from tallyforge.functions.numbering import running_sums
 from tallyforge.operators import catalog, clusters, evaluate, registry, revenue
@@ -127,3 +128,19 @@ def test_intermediate_tables_are_removed(spark):
 
 def test_revenue_of_lines_without_any_purchase(spark):
     assert revenue.revenue_from_lines(spark.createDataFrame([(HEAD,), ("",)], "value string")).count() == 0
+
+
+def test_each_digest_is_made_once_and_every_replicate_counts(spark):
+    rows = spark.createDataFrame([("a/1", 1, 1, 0.5), ("b/2", 0, 0, 0.25), ("c/3", 0, 1, 0.25)], "i string, label int, prediction int, score double")
+    found = evaluate.bootstrap_f1(rows, 200, 7)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    assert found.count() == 200 and evaluate.bootstrap_f1(rows.where("i = 'b/2'"), 200, 7).where("f1 = 0").count() == 200
+
+
+def test_weights_in_python_and_by_columns_are_the_poisson_numbers_of_the_digest(spark):
+    rows = spark.createDataFrame([("a/1",), ("",), (None,), ("é",)], "i string")
+    own = evaluate._weights(["a/1", "", None, "é"], 300, 7)
+    plain = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(299)))).withColumn("w", S.poisson_one(S.digest_uniform(F.lit(7), "b", "i")))
+    for table, w in ((plain, "w"), (evaluate.weighted(rows, 300, 7), "weight")):
+        got = {(r.i, r.b): r[w] for r in table.collect()}
+        assert [[got[i, b] for b in range(300)] for i in ("a/1", "", None, "é")] == own.astype(int).tolist()
