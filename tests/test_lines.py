@@ -1,7 +1,9 @@
 """Line numbers, byte offsets, sampling by offset and first errors, against a plain scan of the bytes."""
 
+import glob
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 
@@ -90,3 +92,15 @@ def test_refusals(spark, tmp_path):
         physical.physical_lines(spark, root, root)
     with pytest.raises(FileNotFoundError):
         physical.physical_lines(spark, root, glob="*.txt")
+
+
+def test_lines_are_written_in_order_by_a_task_a_file(spark, small):
+    from tallyforge.plans import behaviour, files
+
+    folders = files._written(spark, small)
+    written = [[x for p in sorted(glob.glob(f"{f.removeprefix('file:')}/part-*")) for x in Path(p).read_text(encoding="utf-8", newline="").split("\n")[:-1]] for f in folders]
+    assert [len(glob.glob(f"{f.removeprefix('file:')}/part-*")) for f in folders] == [1, 1, 1]
+    tasks = {Path(p).name.split("-")[1] for f in folders for p in glob.glob(f"{f.removeprefix('file:')}/part-*")}
+    assert len(tasks) == 3
+    rows = behaviour.lines(spark, small).orderBy("file", "event_id").collect()
+    assert written == [[r.value for r in rows if r.file == f"f{k}"] for k in range(3)]
