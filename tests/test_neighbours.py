@@ -124,3 +124,11 @@ def test_a_point_that_visits_many_blocks_is_dealt_in_small_batches(spark, monkey
     monkeypatch.setattr(neighbours, "HELD", 40)
     ref = points(spark, np.random.default_rng(6).normal(size=(300, 4)))
     assert key(neighbours.exact(ref, asked(ref), 4, True, 24)) == key(all_pairs(ref, asked(ref), 4, True))
+
+
+def test_a_search_of_few_numbers_is_shared_by_many_tasks_and_blocks(spark):
+    ref = points(spark, clustered(20_000, 30, 3, 0.5, 9))
+    found, visits = neighbours.exact_with_visits(ref, asked(ref.where("id % 50 = 0")), 3, True)
+    seen = visits.first()
+    assert seen.n_blocks >= 16 and seen.share < 0.5
+    assert key(found) == key(all_pairs(ref, asked(ref.where("id % 50 = 0")), 3, True))
