@@ -115,3 +115,13 @@ def test_average_precision_with_ties_and_undefined_rates(spark):
     means = evaluate.bootstrap_mean(spark.createDataFrame([(i, float(i)) for i in range(20)], "i long, value double"), 200)
     low, high = evaluate.interval(means, "mean").first()
     assert low < 9.5 < high and means.count() == 200
+
+
+def test_permuted_columns_meet_without_a_join(spark):
+    rows = spark.createDataFrame([(i, float(i) if i else None, i % 5) for i in range(60)], "id long, x double, y long")
+    mixed = clusters.permuted(rows, ("x", "y"), "id", 3)
+    assert mixed.schema["x"].dataType == rows.schema["x"].dataType and mixed.schema["y"].dataType == rows.schema["y"].dataType
+    got = mixed.collect()
+    assert all(sorted(map(str, (r[c] for r in got))) == sorted(map(str, (r[c] for r in rows.collect()))) for c in ("x", "y")) and [r.row for r in sorted(got)] == list(range(60))
+    # what is left joins the starts of the partitions to each column, one row a partition
+    assert mixed._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
