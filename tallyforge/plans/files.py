@@ -199,7 +199,7 @@ def model_runs(spark, folder):
     rows = durable(features.with_features(features.product_stats(curated(spark, folder), KEYS), MIN_VIEWS).withColumn("item", F.concat_ws("/", *KEYS)))
     scaling = clusters.scaler(rows)
     scaled = scaling.transform(rows)
-    summary = durable(clusters.sweep_summary(clusters.sweep(scaled.select("item", "z").cache(), (2, 3, 4), (1, 2))))
+    summary = durable(clusters.sweep_summary(clusters.sweep(durable(scaled.select("item", "z")), (2, 3, 4), (1, 2))))
     k = clusters.choose(summary).first().k
     model = clusters.fit(scaled, k, 1)
     assigned = model.transform(scaled)

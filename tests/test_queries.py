@@ -48,3 +48,16 @@ def test_models_do_what_their_baselines_do_not(spark, small):
     assert q["run_quality_conservation"](spark, small).first().rejected > 0
     scores = {r.baseline: r.silhouette for r in q["kmeans_baselines"](spark, small).collect()}
     assert q["kmeans_sweep"](spark, small).where("k = 2").first().mean_silhouette > scores["permuted"]
+
+
+def test_sweep_fits_on_a_table_that_is_not_cached(spark, small, monkeypatch):
+    """On a cached table a fit would decode its rows anew in every iteration."""
+    seen = []
+
+    def sweep(rows, ks, seeds):
+        seen.append((rows.columns, rows.storageLevel.useMemory, len(ks) * len(seeds)))
+        return spark.createDataFrame([(2, 1, 1.0, 0.5, 3, 4)], "k int, seed int, inertia double, silhouette double, iterations int, least_size long")
+
+    monkeypatch.setattr("tallyforge.operators.clusters.sweep", sweep)
+    assert registry.QUERIES["kmeans_sweep"](spark, small).first().chosen
+    assert seen == [(["item", "z"], False, 27)]
