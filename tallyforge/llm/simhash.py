@@ -26,18 +26,22 @@ BITS, HALF, REACH, WORDS = 64, 32, 3, 3
 FEW, BLOCK = 8, 2048
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the unsigned 64-bit hashes have, as a signed integer."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 8192):
+        ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(ones * 2 > len(hashes), bitorder="little")
+    return int(bits.view("<i8")[0])
+
+
 def fingerprint_of(text: bytes) -> int:
     """The fingerprint of one text, as a signed 64-bit integer."""
     words = text.lower().split()
     if not words:
         return 0
     grams = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) >= WORDS else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8")
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 8192):
-        ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8"))
 
 
 @F.pandas_udf(T.LongType())
