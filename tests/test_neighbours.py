@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -132,3 +133,27 @@ def test_a_search_of_few_numbers_is_shared_by_many_tasks_and_blocks(spark):
     seen = visits.first()
     assert seen.n_blocks >= 16 and seen.share < 0.5
     assert key(found) == key(all_pairs(ref, asked(ref.where("id % 50 = 0")), 3, True))
+
+
+def test_memory_of_a_batch_of_rows_that_meet_many_pivots_is_bounded():
+    rng = np.random.default_rng(5)
+    rows, pivots = rng.normal(size=(10_000, 7)), rng.normal(size=(4096, 7))
+    features = pa.array(list(rows), pa.list_(pa.float64()))
+    tracemalloc.start()
+    cell, reach = neighbours._placed(features, pivots)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 << 20  # four million distances, as before, are 32 MB, and several times that in between
+    far = np.sqrt(((rows[-50:, None] - pivots[None]) ** 2).sum(axis=2))
+    assert (cell[-50:] == far.argmin(axis=1)).all() and np.allclose(reach[-50:], far.min(axis=1))
+
+
+def test_queries_of_a_block_stream_past_it(spark):
+    ref = points(spark, np.random.default_rng(8).integers(0, 9, (300, 3)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = neighbours.exact(ref, asked(ref), 4, True, 60)
+        assert "collect_list" not in found._jdf.queryExecution().toString()
+        assert key(found) == key(all_pairs(ref, asked(ref), 4, True))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
