@@ -32,9 +32,12 @@ def revenue(events: DataFrame, mode: str = "category_id") -> DataFrame:
 
 
 def with_codes(revenues: DataFrame, funnel: DataFrame) -> DataFrame:
-    """Revenue by category id with the category's code beside it; the code table is one row a category."""
+    """Revenue by category id with the category's code beside it; the code table is one row a category.
+
+    Merged, not broadcast: a hash table of texts takes a whole page of memory (up to 64 MB) however few they are.
+    """
     codes = funnel.select(F.col("category_id").alias("group_key"), "category_code")
-    return revenues.join(codes, "group_key", "left")
+    return revenues.join(codes.hint("merge"), "group_key", "left")
 
 
 def ordered(table: DataFrame, *keys: str) -> DataFrame:

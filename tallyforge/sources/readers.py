@@ -61,7 +61,7 @@ def verified_files(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
     """`(path, bytes, sha256, matches)`: the manifest's files as they are now below the folder; a lost or changed file doesn't match."""
     below = F.regexp_extract("path", f"/{folder.rstrip('/').rsplit('/', 1)[-1]}/(.*)$", 1)
     now = file_digests(spark, folder).select(below.alias("_p"), F.col("bytes").alias("_b"), F.col("sha256").alias("_s"))
-    joined = manifest.join(now, manifest.path == F.col("_p"), "left")
+    joined = manifest.join(now.hint("merge"), manifest.path == F.col("_p"), "left")
     return joined.select("path", "bytes", "sha256", F.coalesce((F.col("_s") == F.col("sha256")) & (F.col("_b") == F.col("bytes")), F.lit(False)).alias("matches"))
 
 

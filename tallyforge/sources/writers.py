@@ -98,7 +98,7 @@ def _with_manifest(spark: SparkSession, staged: str, tables: dict[str, str]) ->
     below = F.regexp_extract("path", f"/{staged.rsplit('/', 1)[-1]}/(.*)$", 1)
     listed = manifest(spark, staged).withColumn("path", below).withColumn("name", F.regexp_replace("path", "/[^/]*$", ""))
     counts = _counted(spark, staged, tables)
-    whole = listed.join(F.broadcast(counts), "name", "left") if counts is not None else listed.withColumn("rows", F.lit(None).cast("long"))
+    whole = listed.join(counts.hint("merge"), "name", "left") if counts is not None else listed.withColumn("rows", F.lit(None).cast("long"))
     whole.select("path", "name", "bytes", "sha256", "rows").coalesce(1).write.parquet(f"{staged}/_manifest_table")
 
 

@@ -125,3 +125,14 @@ def test_permuted_columns_meet_without_a_join(spark):
     assert all(sorted(map(str, (r[c] for r in got))) == sorted(map(str, (r[c] for r in rows.collect()))) for c in ("x", "y")) and [r.row for r in sorted(got)] == list(range(60))
     # what is left joins the starts of the partitions to each column, one row a partition
     assert mixed._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_codes_beside_revenue_and_products_beside_events_are_not_broadcast(spark, small):
+    from tallyforge.operators import metrics, revenue
+    from tallyforge.plans.behaviour import curated
+
+    events = curated(spark, small, merge=True)
+    joined = revenue.with_codes(revenue.revenue(events), metrics.funnel_by_category(events))
+    assert joined.count() == revenue.revenue(curated(spark, small)).count()
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert events.count() == curated(spark, small).count()
