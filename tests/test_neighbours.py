@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
+from tallyforge.functions import tables
 from tallyforge.operators import neighbours
 
 
@@ -157,3 +158,35 @@ def test_queries_of_a_block_stream_past_it(spark):
         assert key(found) == key(all_pairs(ref, asked(ref), 4, True))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_what_a_search_writes_does_not_grow_with_the_number_of_blocks(spark, monkeypatch):
+    sizes = []
+
+    def durable(df):
+        out = tables.durable(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "durable", durable)
+    ref = points(spark, np.random.default_rng(10).normal(size=(1500, 8)))
+    found = neighbours.exact(ref, asked(ref), 4, True, 8 * 20)
+    assert found.count() == 6000 and max(sizes) <= 1500  # a row a query and block to visit was 90,000
+
+
+@pytest.mark.parametrize("splits, numbers", [(12, 8_000_000), (6, 200), (1, 100)])
+def test_groups_of_blocks_meet_shares_of_queries(spark, monkeypatch, splits, numbers):
+    monkeypatch.setattr(neighbours, "TASK_PAIRS", 1000)
+    monkeypatch.setattr(neighbours, "SPLITS", splits)
+    monkeypatch.setattr(neighbours, "GROUP_NUMBERS", numbers)
+    ref = points(spark, np.random.default_rng(11).integers(0, 5, (300, 3)))
+    assert key(neighbours.exact(ref, asked(ref), 5, True, 30)) == key(all_pairs(ref, asked(ref), 5, True))
+    few = asked(ref.where("id % 50 = 0")).withColumn("features", F.col("features").cast("array<float>"))
+    assert key(neighbours.exact(ref.withColumn("features", F.col("features").cast("array<float>")), few, 5, False, 30)) == key(all_pairs(ref, few, 5))
+
+
+def test_repeated_queries_are_one(spark):
+    ref = points(spark, np.random.default_rng(12).normal(size=(60, 3)))
+    ask = asked(ref.where("id < 9"))
+    found, visits = neighbours.exact_with_visits(ref, ask.union(ask), 4, True, 12)
+    assert key(found) == key(all_pairs(ref, ask, 4, True)) and visits.first().n_queries == 9
