@@ -194,9 +194,9 @@ def published_run(spark, folder):
     return listed.join(held.hint("merge"), "path").where("rows is not null").groupBy("name").agg(F.max("rows").alias("n_rows"), F.bool_and("matches").alias("matches"))
 
 
-def model_runs(spark, folder):
+def model_runs(spark, folder, events):
     """A K-Means run of the K that the sweep chooses and a neighbour run, written with their tables; and the labelled rows."""
-    rows = durable(features.with_features(features.product_stats(curated(spark, folder), KEYS), MIN_VIEWS).withColumn("item", F.concat_ws("/", *KEYS)))
+    rows = durable(features.with_features(features.product_stats(events, KEYS), MIN_VIEWS).withColumn("item", F.concat_ws("/", *KEYS)))
     scaling = clusters.scaler(rows)
     scaled = scaling.transform(rows)
     summary = durable(clusters.sweep_summary(clusters.sweep(durable(scaled.select("item", "z")), (2, 3, 4), (1, 2))))
@@ -212,22 +212,23 @@ def model_runs(spark, folder):
     }
     root = new_folder(spark, "models")
     paths = {"kmeans": writers.write_model(spark, root, "a-kmeans", "kmeans", {"scaler": scaling, "kmeans": model}, kmeans, k=k)}
-    known = durable(labels(spark, folder).withColumn("item", F.concat_ws("/", *KEYS)))
+    known = durable(labels(spark, folder, events).withColumn("item", F.concat_ws("/", *KEYS)))
     train = durable(numbered(known.where("split = 'train'"), *KEYS))
     parameters = clusters.scaler_parameters(train)
     saved = {r.feature: (r.mean, r.std) for r in parameters.collect()}
     asked = registry.standardize(known.where("split = 'test'"), saved, "item").withColumnRenamed("item", "query_id")
-    near = neighbours.exact(registry.standardize(train, saved, "row").join(train.select("row", F.col("item").alias("id")), "row"), asked, 15)
+    near = neighbours.exact(registry.standardize(train, saved, "row", F.col("item").alias("id")), asked, 15)
     predictions = neighbours.vote_share(near, train.select(F.col("row").alias("neighbour_row"), "label"), 15, 0.4)
     paths["knn"] = writers.write_model(spark, root, "b-knn", "knn", {}, {"train_set": train.select("row", "item", "label", *S.FEATURES), "scaling": parameters, "predictions": predictions}, k=15, threshold=0.4)
     return paths, known.where("split = 'test'").select("item", "label", *[c for c in ("views", "carts", "purchases", "median_price", "distinct_users", "recent_views") if c in known.columns], *S.FEATURES)
 
 
 def published(spark, folder):
-    paths, tested = model_runs(spark, folder)
-    events = curated(spark, folder)
+    """The root and the path of the published run, and the events, which meet their products once for all tables and models."""
+    events = durable(curated(spark, folder, merge=True))
+    paths, tested = model_runs(spark, folder, events)
     root = new_folder(spark, "serving")
-    return root, writers.publish(spark, root, "r1", {"revenue": revenue.revenue(events).orderBy("group_key")}, paths, tested)
+    return root, writers.publish(spark, root, "r1", {"revenue": revenue.revenue(events).orderBy("group_key")}, paths, tested), events
 
 
 @query(
@@ -245,7 +246,7 @@ UNION ALL SELECT 'all files', 0)""",
 )
 def published_models(spark, folder):
     """Tables and two model runs published as one; rows of the tables, and how many files of the manifest have changed."""
-    root, path = published(spark, folder)
+    root, path, _ = published(spark, folder)
     if readers.latest_run(spark, root) != "r1":
         raise ValueError("the published run is not the latest one")
     listed = durable(spark.read.parquet(f"{path}/_manifest_table"))
@@ -258,8 +259,8 @@ def published_models(spark, folder):
 @query(with_sql("SELECT CAST(0 AS BIGINT) AS differing, count(*) AS n_rows FROM products", PRODUCTS))
 def kmeans_replay(spark, folder):
     """The saved scaler and K-Means models of a published run, loaded and applied again: rows whose cluster is another one."""
-    _, path = published(spark, folder)
-    rows = features.with_features(features.product_stats(curated(spark, folder), KEYS), MIN_VIEWS).withColumn("item", F.concat_ws("/", *KEYS))
+    _, path, events = published(spark, folder)
+    rows = features.with_features(features.product_stats(events, KEYS), MIN_VIEWS).withColumn("item", F.concat_ws("/", *KEYS))
     scaling, model = PipelineModel.load(f"{path}/ml/kmeans/model_scaler"), KMeansModel.load(f"{path}/ml/kmeans/model_kmeans")
     again = model.transform(scaling.transform(rows)).select("item", F.col("cluster").cast("double").alias("cluster"))
     saved = spark.read.option("header", True).csv(f"{path}/ml/kmeans/assignments").select("item", F.col("cluster").cast("double").alias("cluster"))

@@ -89,8 +89,9 @@ FROM ({_stats(f"{split}_known", keys)}) s LEFT JOIN {split}_r r ON {on("r")} LEF
 _BOTH = [*_snapshot("train", TRAIN_T0), *_snapshot("test", TEST_T0), "labelled AS (SELECT * FROM train_snapshot UNION ALL BY NAME SELECT * FROM test_snapshot)"]
 
 
-def labels(spark, folder):
-    return features.label_table(curated(spark, folder), TRAIN_T0, TEST_T0, FEATURE_DAYS, LABEL_DAYS, MIN_VIEWS, KEYS)
+def labels(spark, folder, events=None):
+    """The labelled table of the folder's events, or of those that are given."""
+    return features.label_table(curated(spark, folder) if events is None else events, TRAIN_T0, TEST_T0, FEATURE_DAYS, LABEL_DAYS, MIN_VIEWS, KEYS)
 
 
 @query(with_sql("SELECT * FROM train_snapshot", *_BOTH))

@@ -125,7 +125,7 @@ def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataF
                 export_csv(flat, f"{staged}/ml/{kind}/{name}", *[c for c in ("row", key, "k", "cluster", "feature") if c in rows.columns][:1] or rows.columns[:1])
                 kinds[f"ml/{kind}/{name}"] = "csv"
             if "predictions" in record["tables"] and labels is not None:
-                shown = spark.read.parquet(f"{path}/predictions").withColumnRenamed("query_id", key).join(labels, key)
+                shown = spark.read.parquet(f"{path}/predictions").withColumnRenamed("query_id", key).join(labels.hint("merge"), key)
                 export_csv(shown, f"{staged}/ml/{kind}/products", key)
                 kinds[f"ml/{kind}/products"] = "csv"
         write_json(spark, f"{staged}/ml/models.json", records)

@@ -136,3 +136,23 @@ def test_codes_beside_revenue_and_products_beside_events_are_not_broadcast(spark
     assert joined.count() == revenue.revenue(curated(spark, small)).count()
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert events.count() == curated(spark, small).count()
+
+
+def test_published_models_broadcast_no_table_of_products_or_labels(spark, small):
+    from tallyforge.operators import neighbours
+    from tallyforge.plans.behaviour import curated
+    from tallyforge.plans.learning import labels
+    from tallyforge.plans.registry import QUERIES
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(labels(spark, small, curated(spark, small, merge=True)))
+    near = spark.createDataFrame([("q", 1, 1)], "query_id string, neighbour_row long, place int")
+    assert "Broadcast" not in plan(neighbours.vote_share(near, spark.createDataFrame([(1, 1)], "neighbour_row long, label int"), 3))
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = lambda: [(e.executionId(), e.physicalPlanDescription()) for e in (store.executionsList().apply(i) for i in range(store.executionsList().size()))]
+    last = max((i for i, _ in seen()), default=-1)
+    assert QUERIES["kmeans_replay"](spark, small).first().differing == 0
+    plans = [p for i, p in seen() if i > last]
+    joins = [block.split("\n")[1] for p in plans for block in p.split("\n\n") if "BroadcastHashJoin" in block.split("\n")[0] and block.startswith("(")]
+    assert len(plans) > 20 and all("_part#" in keys for keys in joins), joins  # only the starts of partitions are broadcast
