@@ -251,7 +251,7 @@ def published_models(spark, folder):
         raise ValueError("the published run is not the latest one")
     listed = durable(spark.read.parquet(f"{path}/_manifest_table"))
     held = durable(readers.verified_files(spark, path, listed))
-    own = listed.join(held.select("path", "matches"), "path").where("rows is not null and name not in ('ml/kmeans/profile', 'ml/kmeans/centers', 'ml/knn/scaling')")
+    own = listed.join(held.select("path", "matches").hint("merge"), "path").where("rows is not null and name not in ('ml/kmeans/profile', 'ml/kmeans/centers', 'ml/knn/scaling')")
     tables = own.groupBy("name").agg(F.max("rows").alias("n_rows"), F.bool_and("matches").alias("matches"))
     return tables.unionByName(held.agg(F.lit("all files").alias("name"), F.count_if(~F.col("matches")).alias("n_rows"), F.bool_and("matches").alias("matches")))
 

@@ -153,6 +153,7 @@ def test_published_models_broadcast_no_table_of_products_or_labels(spark, small)
     seen = lambda: [(e.executionId(), e.physicalPlanDescription()) for e in (store.executionsList().apply(i) for i in range(store.executionsList().size()))]
     last = max((i for i, _ in seen()), default=-1)
     assert QUERIES["kmeans_replay"](spark, small).first().differing == 0
+    assert QUERIES["published_models"](spark, small).count() == 8
     plans = [p for i, p in seen() if i > last]
     joins = [block.split("\n")[1] for p in plans for block in p.split("\n\n") if "BroadcastHashJoin" in block.split("\n")[0] and block.startswith("(")]
     assert len(plans) > 20 and all("_part#" in keys for keys in joins), joins  # only the starts of partitions are broadcast
