@@ -61,3 +61,9 @@ def test_sweep_fits_on_a_table_that_is_not_cached(spark, small, monkeypatch):
     monkeypatch.setattr("tallyforge.operators.clusters.sweep", sweep)
     assert registry.QUERIES["kmeans_sweep"](spark, small).first().chosen
     assert seen == [(["item", "z"], False, 27)]
+
+
+def test_visits_are_counted_for_every_product(spark, small):
+    seen = registry.QUERIES["search_visits"](spark, small).first()
+    assert seen.n_queries == registry.QUERIES["product_features"](spark, small).count() > 100
+    assert seen.n_queries <= seen.visits <= seen.n_queries * seen.n_blocks
