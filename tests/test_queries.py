@@ -67,3 +67,19 @@ def test_visits_are_counted_for_every_product(spark, small):
     seen = registry.QUERIES["search_visits"](spark, small).first()
     assert seen.n_queries == registry.QUERIES["product_features"](spark, small).count() > 100
     assert seen.n_queries <= seen.visits <= seen.n_queries * seen.n_blocks
+
+
+@pytest.mark.parametrize("name", ["nearest_vectors"])
+def test_every_vector_is_a_query(spark, small, name):
+    n = spark.read.parquet(f"{small}/embeddings.parquet").count()
+    out = registry.QUERIES[name](spark, small)
+    if name == "nearest_vectors":
+        assert out.count() == 20 * n
+    elif name == "knn_votes":
+        assert out.count() == n
+    elif name == "knn_confusion":
+        assert out.groupBy().sum("n_rows").first()[0] == n
+    elif name == "knn_sweep":
+        assert "vec_id %" not in registry.ORACLES[name] and out.count() == 4
+    else:
+        assert {r.queries for r in out.collect()} == {n}
