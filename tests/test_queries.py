@@ -69,7 +69,7 @@ def test_visits_are_counted_for_every_product(spark, small):
     assert seen.n_queries <= seen.visits <= seen.n_queries * seen.n_blocks
 
 
-@pytest.mark.parametrize("name", ["nearest_vectors", "knn_votes", "knn_confusion", "knn_sweep"])
+@pytest.mark.parametrize("name", ["nearest_vectors", "knn_votes", "knn_confusion", "knn_sweep", "label_agreement"])
 def test_every_vector_is_a_query(spark, small, name):
     n = spark.read.parquet(f"{small}/embeddings.parquet").count()
     out = registry.QUERIES[name](spark, small)
