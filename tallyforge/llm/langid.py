@@ -7,14 +7,17 @@ regression fits one scorer a language against the rest, and Python workers score
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.numbering import running_sums
+
 from .shared import durable, utf8
 
 BUCKET_BITS, ORDERS = 15, 4
@@ -24,8 +27,8 @@ SAMPLE_ROWS, ROWS_PER_LANGUAGE, LANDMARKS = 4096, 768, 192
 #: Parts into which a language's hashes are dealt before they are ranked, so that no task ranks more than DEALT * ROWS_PER_LANGUAGE.
 DEALT = 64
 RIDGE = 1e-4
-#: Share of correctly recognised rows that a learned limit may reject, and about how many labelled rows set the limits.
-REJECTED, CALIBRATION_ROWS = 0.002, 8192
+#: Share of correctly recognised rows that a learned limit may reject.
+REJECTED = 0.002
 UNDETERMINED = "und"
 _SPREAD = np.uint32(2654435761)
 _letters: list[np.ndarray] = []
@@ -70,6 +73,11 @@ class LanguageModel:
     landmarks: np.ndarray  # buckets x landmarks, divided by the root of the landmark's size
     weights: np.ndarray  # landmarks x languages
 
+    def kernel(self, rows: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        """Kernel values of presence rows of so many buckets with the landmarks."""
+        stack = np.stack([r[self.buckets] for r in rows]).astype(np.float32)
+        return (stack @ self.landmarks) / np.sqrt(np.maximum(sizes, 1))[:, None]
+
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Best language of each text, its output moved to 0..1, and its lead; texts without letters are undetermined.
 
@@ -79,9 +87,7 @@ class LanguageModel:
         sizes = np.array([r.sum() for r in rows], dtype=np.float32)
         if not self.languages:
             return [UNDETERMINED] * len(rows), np.zeros(len(rows)), np.zeros(len(rows))
-        stack = np.stack([r[self.buckets] for r in rows]).astype(np.float32)
-        kernel = (stack @ self.landmarks) / np.sqrt(np.maximum(sizes, 1))[:, None]
-        outputs = kernel @ self.weights
+        outputs = self.kernel(rows, sizes) @ self.weights
         best = outputs.argmax(axis=1)
         score = np.clip((outputs[np.arange(len(best)), best] + 1) / 2, 0, 1)
         names = [self.languages[b] if n else UNDETERMINED for b, n in zip(best, sizes)]
@@ -147,6 +153,54 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return fit_ridge([r.lang for r in sample], np.stack([np.frombuffer(r.bits, dtype=np.uint8) for r in sample]))
 
 
+def fit_whole(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
+    """Fit on all rows of `training` in the languages that `fit` learns: its bounded sample gives the landmarks only.
+
+    The normal equations are sums over the rows. Tasks add up their own, and what reaches the driver is one sum for each
+    pair of landmarks and for each landmark and language. Repeated texts of a language count once, as in `fit`.
+    """
+    model = fit(training, text_col, lang_col, sample_rows)
+    if not model.languages:
+        return model
+    names, marks = model.languages, model.landmarks.shape[1]
+    shared = training.sparkSession.sparkContext.broadcast(model)
+
+    def kernels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 128):
+                some = b.iloc[at : at + 128]
+                rows = [presence(t.decode("utf-8", "replace")) for t in some.text]
+                found = shared.value.kernel(rows, np.array([r.sum() for r in rows], dtype=np.float32))
+                yield pd.DataFrame({"lang": some.lang, "h": some.h, "kernel": [k.astype(np.float32).tobytes() for k in found]})
+
+    known = training.where(F.col(lang_col).isin(names) & F.col(text_col).rlike(r"\p{L}"))
+    texts = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("sample"), text_col).alias("h"), utf8(F.col(text_col)).alias("text"))
+    each = durable(texts.mapInPandas(kernels, "lang string, h long, kernel binary").dropDuplicates(["lang", "h"]))
+    counts = {r.lang: r.n for r in each.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    weight = np.array([total / len(names) / counts[x] for x in names])
+    place = {x: k for k, x in enumerate(names)}
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros((marks, marks + len(names)))
+        for b in batches:
+            k = np.frombuffer(b"".join(b.kernel), dtype=np.float32).reshape(-1, marks).astype(np.float64)
+            lang = np.array([place[x] for x in b.lang], dtype=np.int64)
+            target = np.where(lang[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
+            own += (k * weight[lang][:, None]).T @ np.concatenate([k, target], axis=1)
+        yield pd.DataFrame({"mark": np.arange(marks, dtype=np.int32), "sums": list(own)})
+
+    def added(parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"mark": parts.mark.iloc[:1], "sums": [np.sum(np.stack(parts.sums), axis=0)]})
+
+    schema = "mark int, sums array<double>"
+    rows = each.mapInPandas(sums, schema).groupBy("mark").applyInPandas(added, schema).collect()
+    whole = np.array([r.sums for r in sorted(rows, key=lambda r: r.mark)])
+    among = model.landmarks.T.astype(np.float64) @ model.landmarks.astype(np.float64)
+    left = whole[:, :marks] + RIDGE * total * among + 1e-8 * total * np.eye(marks)
+    return replace(model, weights=np.linalg.solve(left, whole[:, marks:]).astype(np.float32))
+
+
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Add `lang_pred`, `lang_score` (0 to 1) and `lang_lead` from the whole text; other columns stay.
 
@@ -170,18 +224,25 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     return scored.withColumns({"lang_pred": F.col("_tf_s.lang"), "lang_score": F.col("_tf_s.score"), "lang_lead": F.col("_tf_s.lead")}).drop("_tf_s")
 
 
-def limits(labelled: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> tuple[float, float]:
-    """The least score and lead of a text in a known language, learned from labelled rows outside the fitted sample.
+def _quantile(rows: DataFrame, column: str, share: float) -> float | None:
+    """The exact quantile of a column, between two values in proportion, from counts of equal values: no task holds all rows. None without rows."""
+    ranked = durable(running_sums(rows.groupBy(column).agg(F.count("*").alias("n")), (), [column], {"n": "upto"}))
+    last = ranked.agg(F.max("upto")).first()[0]
+    if not last:
+        return None
+    at = share * (last - 1)
+    low, high = (ranked.where(F.col("upto") > place).agg(F.min(column)).first()[0] for place in (math.floor(at), math.ceil(at)))
+    return low + (high - low) * (at - math.floor(at))
+
+
+def limits(scored: DataFrame, lang_col: str = "lang") -> tuple[float, float]:
+    """The least score and lead of a text in a known language, learned from labelled rows outside the fit, with the columns of `predict`.
 
-    Each limit leaves out REJECTED of the rows whose language is recognised, of a sample by hashes of the texts; with
-    few rows it is near the smallest value among them. Without any, the limits are those of an undecided model.
+    Each limit leaves out REJECTED of all rows whose language is recognised; with few rows it is near the smallest value
+    among them. Without any, the limits are those of an undecided model.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull())
-    share = min(1.0, CALIBRATION_ROWS / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64(F.lit("limits"), text_col), F.lit(1 << 20)) < int(share * (1 << 20)))
-    right = predict(some.select(F.col(text_col), F.col(lang_col).alias("_tf_lang")), model, text_col).where("lang_pred = _tf_lang")
-    q = F.percentile("lang_score", F.lit(REJECTED)), F.percentile("lang_lead", F.lit(REJECTED))
-    score, lead = right.agg(*q).first()
+    right = durable(scored.where(F.col(lang_col) == F.col("lang_pred")).select("lang_score", "lang_lead"))
+    score, lead = (_quantile(right, c, REJECTED) for c in ("lang_score", "lang_lead"))
     return (score, lead) if score is not None else (0.5, 0.0)
 
 

@@ -106,3 +106,44 @@ def test_the_sample_is_the_smallest_hashes_of_each_language(spark, monkeypatch):
     languages, bits = seen[0]
     for lang, texts in want.items():
         assert sorted(np.packbits(langid.presence(t)).tobytes() for t in texts) == sorted(b.tobytes() for x, b in zip(languages, bits) if x == lang)
+
+
+def test_the_whole_fit_takes_every_row_and_equals_the_plain_one(spark, monkeypatch):
+    """With a sample of a few rows a language: the landmarks are theirs, and the normal equations those of all distinct texts."""
+    rng = random.Random(5)
+    vocabulary = {"en": ["the", "cat", "house", "river", "wood"], "de": ["der", "hund", "straße", "fluß", "wald"]}
+    rows = [(k, " ".join(rng.choice(vocabulary[x]) for _ in range(rng.randrange(4, 14))), x, "c") for k, x in enumerate(rng.choices(["en", "de"], [3, 1], k=400))]
+    df = spark.createDataFrame(rows + rows[:50], SCHEMA).repartition(5)
+    monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 6)
+    few, model = langid.fit(df), langid.fit_whole(df)
+    assert model.languages == ["de", "en"] and (model.landmarks == few.landmarks).all() and model.landmarks.shape[1] == 12
+    texts = sorted({(r[2], r[1]) for r in rows})
+    near = np.concatenate([few.kernel([p], np.array([p.sum()])) for p in (langid.presence(t) for _, t in texts)]).astype(float)
+    lang = np.array([x for x, _ in texts])
+    weight = np.array([len(texts) / 2 / (lang == x).sum() for x in lang])
+    target = np.array([[1.0 if x == n else -1.0 for n in ("de", "en")] for x in lang])
+    among = few.landmarks.T.astype(float) @ few.landmarks
+    want = np.linalg.solve(near.T @ (weight[:, None] * near) + langid.RIDGE * len(texts) * among + 1e-8 * len(texts) * np.eye(12), near.T @ (weight[:, None] * target))
+    assert np.allclose(near @ model.weights, near @ want, atol=1e-3) and not np.allclose(near @ few.weights, near @ want, atol=1e-3)
+    assert langid.fit_whole(df.limit(0)).languages == []
+
+
+def test_limits_are_exact_quantiles_of_all_recognised_rows(spark):
+    rng = np.random.default_rng(6)
+    values = np.round(rng.random((30_000, 2)), 3)
+    df = spark.createDataFrame([("en", "en" if k % 10 else "de", float(a), float(b)) for k, (a, b) in enumerate(values)], "lang string, lang_pred string, lang_score double, lang_lead double")
+    right = values[np.arange(30_000) % 10 > 0]
+    assert np.allclose(langid.limits(df), np.quantile(right, langid.REJECTED, axis=0), atol=1e-12)
+    assert langid.limits(df.limit(0)) == (0.5, 0.0)
+    one = df.where("lang = lang_pred").limit(1)
+    assert langid.limits(one) == (one.first().lang_score, one.first().lang_lead)
+
+
+def test_the_stage_fits_all_rows_and_sets_limits_by_all_others(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    seen = {}
+    whole, limits = langid.fit_whole, langid.limits
+    monkeypatch.setattr(langid, "fit_whole", lambda df: seen.update(fitted=df.count()) or whole(df))
+    monkeypatch.setattr(langid, "limits", lambda df: seen.update(judged=df.count()) or limits(df))
+    kept = corpus_pipeline.keep_known_languages(spark, docs, small)
+    assert seen["fitted"] + seen["judged"] == docs.count() and kept.count() >= 0.97 * docs.where(F.col("text").rlike(r"\p{L}")).count()
